@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arrayloom.llm import chat, html, packing, quality
+from arrayloom.llm import chat, decontaminate, html, lines, minhash, packing, passages, quality
 from arrayloom.sources.tables import table
 
 
+def op2_compact_windows(spark, d):
+    """Every passage of 50 words or more that near-repeats in another document."""
+    return passages.repeated_passages(table(spark, d, "documents"))
+
+
+def op4_minhash_inverted_join(spark, d):
+    """Near-duplicate classes of all documents: 3-word shingles, 85 %."""
+    return minhash.near_duplicates(table(spark, d, "documents"), shingle=3, percent=85)
+
+
+def op5_simhash_decontamination(spark, d):
+    """Documents and the benchmark items that they hold."""
+    return decontaminate.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op6_fuzzy_lines(spark, d):
+    """Every document without the lines that another line stands for."""
+    out = lines.dedup_lines(table(spark, d, "documents"))
+    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_gone").alias("n_gone"))
+
+
 def op7_html_main_text(spark, d):
     """Main text of every page."""
     return html.extract(table(spark, d, "pages"))
@@ -35,7 +56,16 @@ def op10_quality_votes(spark, d):
     return quality.score(table(spark, d, "documents"))
 
 
-_QUERIES = [op7_html_main_text, op8_sum_of_squares_packing, op9_chat_formatting, op10_quality_votes]
+_QUERIES = [
+    op2_compact_windows,
+    op4_minhash_inverted_join,
+    op5_simhash_decontamination,
+    op6_fuzzy_lines,
+    op7_html_main_text,
+    op8_sum_of_squares_packing,
+    op9_chat_formatting,
+    op10_quality_votes,
+]
 
 _ORACLES: dict[str, str] = {}
 
