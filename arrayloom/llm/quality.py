@@ -203,9 +203,11 @@ def keep_good(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.
 
     Texts are read twice, for the fit and for the verdict, so that rows need
-    no key.
+    no key. The verdict passes through a generator, below which the optimizer
+    doesn't move the filter; else it would repeat the counting in it.
     """
     counted = features(docs.select(F.col(text_column).alias("text"))).drop("text")
-    model = fit_votes(counted)
+    model = fit_votes(Scratch(docs.sparkSession, "quality").save(counted, "counts"))
     tagged = docs.select(F.struct("*").alias("__row"), F.col(text_column).alias("text"))
-    return judged(features(tagged), model).where("kept").select("__row.*")
+    verdict = judged(features(tagged), model).select("__row", F.explode(F.array("kept")).alias("__kept"))
+    return verdict.where("__kept").select("__row.*")

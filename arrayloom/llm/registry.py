@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arrayloom.llm import chat, decontaminate, html, lines, minhash, packing, passages, quality
+from arrayloom.llm import chat, decontaminate, html, lines, minhash, packing, passages, quality, shards, surrogates
+from arrayloom.llm.common import Scratch
 from arrayloom.sources.tables import table
 
 
+def op1_keyed_surrogates(spark, d):
+    """All documents with surrogates for personal data and secrets."""
+    return surrogates.replace_entities(table(spark, d, "documents"))
+
+
 def op2_compact_windows(spark, d):
     """Every passage of 50 words or more that near-repeats in another document."""
     return passages.repeated_passages(table(spark, d, "documents"))
 
 
+def op3_size_tiered_compaction(spark, d):
+    """All documents in eight arrivals, read back from the compacted store."""
+    store = shards.ShardStore(spark, Scratch(spark, "store").base)
+    shards.ingest(table(spark, d, "documents"), store)
+    return store.read().select(
+        "doc_id",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.col("_metadata.file_name").alias("shard"),
+        F.col("_metadata.file_size").alias("shard_bytes"),
+    )
+
+
 def op4_minhash_inverted_join(spark, d):
     """Near-duplicate classes of all documents: 3-word shingles, 85 %."""
     return minhash.near_duplicates(table(spark, d, "documents"), shingle=3, percent=85)
@@ -57,7 +75,9 @@ def op10_quality_votes(spark, d):
 
 
 _QUERIES = [
+    op1_keyed_surrogates,
     op2_compact_windows,
+    op3_size_tiered_compaction,
     op4_minhash_inverted_join,
     op5_simhash_decontamination,
     op6_fuzzy_lines,
