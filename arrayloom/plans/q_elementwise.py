@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from arrayloom.functions import constants, scalar, short_vectors, special
+from arrayloom.operators import symbolic
 from arrayloom.plans.catalog import query
+from arrayloom.sources import vectors
 from arrayloom.sources.tables import table
 
 
@@ -24,3 +29,358 @@ def reduce_combined_by_flag(spark, d):
         F.max("l_extendedprice").alias("max_price"),
         F.sum((F.col("l_quantity") > 25).cast("long")).alias("n_large"),
     )
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, round(2.5 * l_quantity + l_extendedprice, 4) AS y FROM lineitem")
+def saxpy(spark, d):
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", F.round(scalar.fma(F.lit(2.5), F.col("l_quantity"), F.col("l_extendedprice")), 4).alias("y")
+    )
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, round(l_extendedprice + (l_quantity + l_discount * l_tax), 4) AS a FROM lineitem")
+def vector_arithmetic(spark, d):
+    a, b, c, e = (F.col(f"l_{x}") for x in ("extendedprice", "quantity", "discount", "tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.round(a + (b + c * e), 4).alias("a"))
+
+
+@query("SELECT event_id AS idx, round(sqrt(2 * value) + pow(cos(value), 2.0), 6) AS z FROM events")
+def math_chain(spark, d):
+    x = F.col("value")
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), F.round(F.sqrt(2 * x) + F.pow(F.cos(x), F.lit(2.0)), 6).alias("z"))
+
+
+@query("""
+SELECT p_partkey AS idx, CAST((p_partkey - 50) // p_size AS BIGINT) AS quotient, CAST((p_partkey - 50) % p_size AS BIGINT) AS rest,
+       CAST(p_partkey << 3 AS BIGINT) AS shl, CAST(p_partkey >> 2 AS BIGINT) AS shr, CAST(p_partkey & p_size AS BIGINT) AS b_and,
+       CAST(p_partkey | p_size AS BIGINT) AS b_or, CAST(xor(p_partkey, p_size) AS BIGINT) AS b_xor, CAST(-p_partkey AS BIGINT) AS neg,
+       CAST(p_size = 0 AS BIGINT) AS lnot, CAST(p_partkey < p_size AND p_size > 3 AS BIGINT) AS both
+FROM part
+""")
+def integer_ops(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    return table(spark, d, "part").select(
+        k.alias("idx"), scalar.idiv(k - 50, s).alias("quotient"), scalar.mod(k - 50, s).alias("rest"), scalar.shl(k, 3).alias("shl"),
+        scalar.shr(k, 2).alias("shr"), k.bitwiseAND(s).alias("b_and"), k.bitwiseOR(s).alias("b_or"), k.bitwiseXOR(s).alias("b_xor"),
+        (-k).alias("neg"), scalar.truth(scalar.logical_not(s)).alias("lnot"), scalar.truth((k < s) & (s > 3)).alias("both"),
+    )
+
+
+@query("SELECT event_id AS idx, CASE WHEN value > 20 THEN value ELSE CAST(user_id AS DOUBLE) END AS v FROM events")
+def ternary(spark, d):
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), scalar.if_else(F.col("value") > 20, F.col("value"), F.col("user_id").cast("double")).alias("v")
+    )
+
+
+@query("""
+SELECT event_id AS idx, CASE WHEN value > 20 THEN 0.0 ELSE value END AS y, CASE WHEN value > 20 THEN CAST(user_id AS DOUBLE) ELSE 0.0 END AS z
+FROM events
+""")
+def conditional_write(spark, d):
+    """A write through one of two targets, chosen for each element."""
+    c, y, z = F.col("value") > 20, F.col("value"), F.col("user_id").cast("double")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), scalar.if_else(c, 0.0, y).alias("y"), scalar.if_else(c, z, 0.0).alias("z")
+    )
+
+
+@query("""
+SELECT o_orderkey AS idx, round(o_totalprice + 1.5, 4) AS plus, round(o_totalprice - 1.5, 4) AS minus, round(o_totalprice * 3, 4) AS times,
+       round(o_totalprice / 4, 6) AS over, CAST((o_custkey << 1) & 255 | 7 AS BIGINT) AS bits, CAST(o_custkey + 1 AS BIGINT) AS incremented
+FROM orders
+""")
+def compound_assign(spark, d):
+    x, k = F.col("o_totalprice"), F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("idx"), F.round(x + 1.5, 4).alias("plus"), F.round(x - 1.5, 4).alias("minus"), F.round(x * 3, 4).alias("times"),
+        F.round(x / 4, 6).alias("over"), scalar.shl(k, 1).bitwiseAND(255).bitwiseOR(7).alias("bits"), (k + 1).alias("incremented"),
+    )
+
+
+#: What the constants are in SQL; those that no function gives are numbers.
+_SQL_CONSTANTS = {
+    "pi": "pi()", "root_pi": "sqrt(pi())", "root_half_pi": "sqrt(pi() / 2)", "root_two_pi": "sqrt(2 * pi())", "root_ln_four": "sqrt(ln(4))",
+    "e": "exp(1)", "half": "0.5", "euler": "0.57721566490153286", "root_two": "sqrt(2)", "ln_two": "ln(2)", "ln_ln_two": "ln(ln(2))",
+    "third": "1.0 / 3", "twothirds": "2.0 / 3", "pi_minus_three": "pi() - 3", "four_minus_pi": "4 - pi()", "two_pi": "2 * pi()",
+    "half_root_two": "sqrt(2) / 2", "exp_minus_half": "exp(-0.5)", "one_div_two_pi": "1 / (2 * pi())", "catalan": "0.91596559417721901",
+    "cbrt_pi": "cbrt(pi())", "cosh_one": "(exp(1) + exp(-1)) / 2", "cos_one": "cos(1)", "degree": "radians(1)", "e_pow_pi": "exp(pi())",
+    "euler_sqr": "pow(0.57721566490153286, 2)", "extreme_value_skewness": "1.1395470994046486", "four_thirds_pi": "4 * pi() / 3",
+    "glaisher": "1.2824271291006226", "half_pi": "pi() / 2", "khinchin": "2.6854520010653064", "ln_phi": "ln((1 + sqrt(5)) / 2)",
+    "ln_ten": "ln(10)", "log10_e": "log10(exp(1))", "one_div_cbrt_pi": "1 / cbrt(pi())", "one_div_euler": "1 / 0.57721566490153286",
+    "one_div_ln_phi": "1 / ln((1 + sqrt(5)) / 2)", "one_div_log10_e": "ln(10)", "one_div_root_pi": "1 / sqrt(pi())",
+    "one_div_root_two": "1 / sqrt(2)", "one_div_root_two_pi": "1 / sqrt(2 * pi())", "phi": "(1 + sqrt(5)) / 2", "pi_cubed": "pow(pi(), 3)",
+    "pi_pow_e": "pow(pi(), exp(1))", "pi_sqr": "pi() * pi()", "pi_sqr_div_six": "pi() * pi() / 6", "radian": "degrees(1)",
+    "rayleigh_kurtosis": "3 - (6 * pi() * pi() - 24 * pi() + 16) / pow(4 - pi(), 2)",
+    "rayleigh_kurtosis_excess": "-(6 * pi() * pi() - 24 * pi() + 16) / pow(4 - pi(), 2)",
+    "rayleigh_skewness": "2 * sqrt(pi()) * (pi() - 3) / pow(4 - pi(), 1.5)", "root_e": "sqrt(exp(1))", "root_one_div_pi": "sqrt(1 / pi())",
+    "root_three": "sqrt(3)", "root_two_div_pi": "sqrt(2 / pi())", "sinh_one": "(exp(1) - exp(-1)) / 2", "sin_one": "sin(1)",
+    "sixth_pi": "pi() / 6", "third_pi": "pi() / 3", "three_quarters": "0.75", "three_quarters_pi": "0.75 * pi()", "two_div_pi": "2 / pi()",
+    "two_thirds": "2.0 / 3", "two_thirds_pi": "2 * pi() / 3", "zeta_three": "1.2020569031595943", "zeta_two": "pi() * pi() / 6",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, round(CAST({x} AS DOUBLE), 9) AS value" for n, x in _SQL_CONSTANTS.items()))
+def named_constants(spark, d):
+    names = F.array(*[F.struct(F.lit(n).alias("name"), constants.constant(n).alias("value")) for n in _SQL_CONSTANTS])
+    return spark.range(1).select(F.explode(names).alias("c")).select("c.name", F.round("c.value", 9).alias("value"))
+
+
+@query("SELECT range AS idx, range + 100 AS i FROM range(1024)")
+def element_index(spark, d):
+    return vectors.element_index(spark, 1024, 100)
+
+
+@query("SELECT event_id AS idx, CAST(trunc(value) AS INTEGER) AS i, CAST(value AS FLOAT) AS f, CAST(user_id AS DOUBLE) AS u FROM events")
+def cast_values(spark, d):
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), F.col("value").cast("int").alias("i"), F.col("value").cast("float").alias("f"), F.col("user_id").cast("double").alias("u")
+    )
+
+
+@query("SELECT event_id AS idx, [1, 2, 3, 4][event_id % 4 + 1] AS v FROM events")
+def constant_lookup(spark, d):
+    four = F.array(*[F.lit(k) for k in (1, 2, 3, 4)])
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), F.element_at(four, (F.col("event_id") % 4 + 1).cast("int")).alias("v"))
+
+
+@query("""
+WITH t AS (SELECT event_id AS idx, value AS x, least(greatest((value - 5) / 20, 0), 1) AS t FROM events)
+SELECT idx, least(greatest(x, 10.0), 30.0) AS clamped, round(x + (100 - x) * 0.25, 6) AS mixed, round(t * t * (3 - 2 * t), 6) AS smooth,
+       CASE WHEN x < 12 THEN 0.0 ELSE 1.0 END::DOUBLE AS stepped, CASE WHEN x > 15 THEN round(x - 15, 6) ELSE 0.0 END AS fdim,
+       greatest(x, 20.0) AS larger, least(x, 20.0) AS smaller, CASE WHEN abs(x) > 20 THEN x ELSE 20.0 END AS maxmag
+FROM t
+""")
+def clamp_mix_smoothstep(spark, d):
+    x = F.col("value")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), scalar.clamp(x, 10.0, 30.0).alias("clamped"), F.round(scalar.mix(x, 100.0, 0.25), 6).alias("mixed"),
+        F.round(scalar.smoothstep(5.0, 25.0, x), 6).alias("smooth"), scalar.step(12.0, x).alias("stepped"),
+        F.round(scalar.fdim(x, 15.0), 6).alias("fdim"), scalar.fmax(x, F.lit(20.0)).alias("larger"), scalar.fmin(x, F.lit(20.0)).alias("smaller"),
+        scalar.maxmag(x, F.lit(20.0)).alias("maxmag"),
+    )
+
+
+_ODD_VALUES = "CASE event_id % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN 0.0 ELSE value END"
+
+
+@query(f"""
+WITH t AS (SELECT event_id AS idx, value AS y, {_ODD_VALUES} AS x FROM events)
+SELECT idx, isnan(x) AS is_nan, isinf(x) AS is_inf, isfinite(x) AS is_finite, NOT isnan(x) AND x > y AS greater, NOT isnan(x) AND x < y AS smaller,
+       NOT isnan(x) AND x = y AS equal, isnan(x) AS unordered, CASE WHEN isnan(x) THEN y WHEN x > y THEN x ELSE y END AS fmax,
+       isfinite(x) AND abs(x) >= 2.2250738585072014e-308 AS normal
+FROM t
+""")
+def fp_classify(spark, d):
+    k, y = F.col("event_id") % 5, F.col("value")
+    x = F.when(k == 0, scalar.nan()).when(k == 1, F.lit(scalar.INF)).when(k == 2, F.lit(-scalar.INF)).when(k == 3, F.lit(0.0)).otherwise(y)
+    t = table(spark, d, "events").select(F.col("event_id").alias("idx"), y.alias("y"), x.alias("x"))
+    x, y = F.col("x"), F.col("y")
+    return t.select(
+        "idx", F.isnan(x).alias("is_nan"), scalar.isinf(x).alias("is_inf"), scalar.isfinite(x).alias("is_finite"), scalar.isgreater(x, y).alias("greater"),
+        scalar.isless(x, y).alias("smaller"), scalar.isequal(x, y).alias("equal"), scalar.isunordered(x, y).alias("unordered"),
+        scalar.fmax(x, y).alias("fmax"), scalar.isnormal(x).alias("normal"),
+    )
+
+
+@query("""
+SELECT p_partkey AS idx, CAST(bit_count(p_partkey) AS INTEGER) AS ones, CAST(CASE WHEN p_partkey = 0 THEN 32 ELSE 32 - length(bin(p_partkey)) END AS INTEGER) AS zeros,
+       CAST(((p_partkey << 7) | (p_partkey >> 25)) & 4294967295 AS BIGINT) AS rotated, CAST((p_partkey * 2654435761) >> 32 AS BIGINT) AS high,
+       CAST((p_partkey + p_size) >> 1 AS BIGINT) AS half_sum, CAST((p_partkey + p_size + 1) >> 1 AS BIGINT) AS half_sum_up,
+       CAST((p_partkey & ~15) | (p_size & 15) AS BIGINT) AS selected, CAST((p_size << 32) | p_partkey AS BIGINT) AS upsampled,
+       CAST(abs(p_partkey - p_size) AS BIGINT) AS difference
+FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)
+""")
+def bit_functions(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    return table(spark, d, "part").select(
+        k.alias("idx"), scalar.popcount(k).alias("ones"), scalar.clz(k).cast("int").alias("zeros"), scalar.rotate(k, 7).alias("rotated"),
+        scalar.mul_hi(k, F.lit(2654435761)).alias("high"), scalar.hadd(k, s).alias("half_sum"), scalar.rhadd(k, s).alias("half_sum_up"),
+        scalar.bitselect(k, s, F.lit(15).cast("long")).alias("selected"), scalar.upsample(s, k).alias("upsampled"), scalar.abs_diff(k, s).alias("difference"),
+    )
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS idx, CAST(o_custkey * 2000000 - 1000000000 AS BIGINT) AS a, CAST(2147000000 AS BIGINT) AS b FROM orders)
+SELECT idx, CAST(least(greatest(a + b, -2147483648), 2147483647) AS BIGINT) AS added, CAST(least(greatest(a - b, -2147483648), 2147483647) AS BIGINT) AS subtracted,
+       CAST(least(greatest(a * 3 + 7, -2147483648), 2147483647) AS BIGINT) AS multiplied, CAST((a & 16777215) * 5 + 1 AS BIGINT) AS low24
+FROM t
+""")
+def saturating_arithmetic(spark, d):
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_custkey") * 2000000 - 1000000000).alias("a"), F.lit(2147000000).cast("long").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return t.select(
+        "idx", scalar.add_sat(a, b).alias("added"), scalar.sub_sat(a, b).alias("subtracted"), scalar.mad_sat(a, F.lit(3), F.lit(7)).alias("multiplied"),
+        scalar.mad24(a, F.lit(5), F.lit(1)).alias("low24"),
+    )
+
+
+@query("""
+SELECT event_id AS idx, round(sin(value), 6) + 0.0 AS s, round(cos(value), 6) + 0.0 AS c, round(tan(value / 100), 6) AS t, round(asin(value / 100000), 9) AS arcsin,
+       round(acos(value / 100000), 9) AS arccos, round(atan(value), 6) AS arctan, round(atan2(value, 2.0), 6) AS arctan2, round(atan(value) / pi(), 6) AS arctan_pi,
+       round(sinh(value / 1000), 6) AS hs, round(cosh(value / 1000), 6) AS hc, round(tanh(value / 1000), 6) AS ht, round(asinh(value), 6) AS has,
+       round(acosh(value + 1), 6) AS hac, round(radians(value), 6) AS rad, round(degrees(value), 4) AS deg, round(sqrt(value * value + 9), 6) AS hyp
+FROM events
+""")
+def trigonometry(spark, d):
+    x, f = F.col("value"), scalar.FUNCTIONS
+    cols = {
+        "s": F.round(F.sin(x), 6) + 0.0, "c": F.round(F.cos(x), 6) + 0.0, "t": F.round(F.tan(x / 100), 6), "arcsin": F.round(F.asin(x / 100000), 9),
+        "arccos": F.round(F.acos(x / 100000), 9), "arctan": F.round(F.atan(x), 6), "arctan2": F.round(f["atan2"](x, F.lit(2.0)), 6),
+        "arctan_pi": F.round(f["atanpi"](x), 6), "hs": F.round(F.sinh(x / 1000), 6), "hc": F.round(F.cosh(x / 1000), 6), "ht": F.round(F.tanh(x / 1000), 6),
+        "has": F.round(F.asinh(x), 6), "hac": F.round(F.acosh(x + 1), 6), "rad": F.round(F.radians(x), 6), "deg": F.round(F.degrees(x), 4),
+        "hyp": F.round(F.hypot(x, F.lit(3.0)), 6),
+    }
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), *[c.alias(n) for n, c in cols.items()])
+
+
+@query("""
+WITH t AS (SELECT event_id AS idx, value AS v, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS x FROM events)
+SELECT idx, CASE WHEN x > 0 THEN round(ln(x), 6) ELSE '-inf'::DOUBLE END AS ln_x, CASE WHEN x > 0 THEN round(log2(x), 6) ELSE '-inf'::DOUBLE END AS log2_x,
+       CASE WHEN x > 0 THEN round(log10(x), 6) ELSE '-inf'::DOUBLE END AS log10_x, round(ln(1 + x), 6) AS log1p_x, round(exp(x / 100), 6) AS exp_x,
+       round(exp(x / 100) - 1, 6) AS expm1_x, round(pow(2, x / 10), 4) AS exp2_x, round(cbrt(x), 6) AS cbrt_x, round(sqrt(x), 6) AS sqrt_x,
+       CASE WHEN x = 0 THEN 'inf'::DOUBLE ELSE round(1 / sqrt(x), 6) END AS rsqrt_x, CAST(CASE WHEN v > 0 THEN floor(log2(v)) END AS BIGINT) AS ilogb_v
+FROM t
+""")
+def logarithms_and_powers(spark, d):
+    x, v, f = F.col("x"), F.col("value"), scalar.FUNCTIONS
+    t = table(spark, d, "events").select(F.col("event_id").alias("idx"), "value", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value")).alias("x"))
+    return t.select(
+        "idx", F.round(f["log"](x), 6).alias("ln_x"), F.round(f["log2"](x), 6).alias("log2_x"), F.round(f["log10"](x), 6).alias("log10_x"),
+        F.round(f["log1p"](x), 6).alias("log1p_x"), F.round(F.exp(x / 100), 6).alias("exp_x"), F.round(F.expm1(x / 100), 6).alias("expm1_x"),
+        F.round(f["exp2"](x / 10), 4).alias("exp2_x"), F.round(F.cbrt(x), 6).alias("cbrt_x"), F.round(F.sqrt(x), 6).alias("sqrt_x"),
+        F.round(f["rsqrt"](x), 6).alias("rsqrt_x"), F.when(v > 0, f["ilogb"](v)).alias("ilogb_v"),
+    )
+
+
+@query("""
+WITH t AS (SELECT event_id AS idx, value - 25 AS x FROM events)
+SELECT idx, floor(x) + 0.0 AS fl, ceil(x) + 0.0 AS ce, trunc(x) + 0.0 AS tr, round_even(x, 0) + 0.0 AS ri, sign(x) * floor(abs(x) + 0.5) + 0.0 AS ro,
+       round(x - floor(x), 6) AS frac, round(x - trunc(x), 6) + 0.0 AS modf_frac, round(abs(x), 6) AS ab, CAST(sign(x) AS DOUBLE) AS sg,
+       x < 0 AS negative, CASE WHEN x < 0 THEN -7.5 ELSE 7.5 END::DOUBLE AS signed, round(x - 7 * round_even(x / 7, 0), 6) + 0.0 AS rem, round(x % 7.0::DOUBLE, 6) + 0.0 AS fm,
+       round(x * 8, 6) AS scaled
+FROM t
+""")
+def rounding_and_parts(spark, d):
+    t = table(spark, d, "events").select(F.col("event_id").alias("idx"), (F.col("value") - 25).alias("x"))
+    x, f = F.col("x"), scalar.FUNCTIONS
+    return t.select(
+        "idx", (f["floor"](x) + 0.0).alias("fl"), (f["ceil"](x) + 0.0).alias("ce"), (f["trunc"](x) + 0.0).alias("tr"), (f["rint"](x) + 0.0).alias("ri"),
+        (f["round"](x) + 0.0).alias("ro"), F.round(f["fract"](x).fraction, 6).alias("frac"), (F.round(f["modf"](x).fraction, 6) + 0.0).alias("modf_frac"),
+        F.round(F.abs(x), 6).alias("ab"), F.signum(x).alias("sg"), f["signbit"](x).alias("negative"), f["copysign"](F.lit(7.5), x).alias("signed"),
+        (F.round(f["remainder"](x, F.lit(7.0)), 6) + 0.0).alias("rem"), (F.round(f["fmod"](x, F.lit(7.0)), 6) + 0.0).alias("fm"),
+        F.round(f["ldexp"](x, F.lit(3)), 6).alias("scaled"),
+    )
+
+
+@query("""
+WITH t AS (SELECT vec_id AS idx, [CAST(x AS DOUBLE) FOR x IN embedding[1:3]] AS a, [CAST(x AS DOUBLE) FOR x IN embedding[4:6]] AS b FROM embeddings)
+SELECT idx, round(list_inner_product(a, b), 6) + 0.0 AS dot, round(sqrt(list_inner_product(a, a)), 6) AS len, round(list_distance(a, b), 6) AS dist,
+       round(a[2] * b[3] - a[3] * b[2], 6) + 0.0 AS cross_x, round(a[3] * b[1] - a[1] * b[3], 6) + 0.0 AS cross_y, round(a[1] * b[2] - a[2] * b[1], 6) + 0.0 AS cross_z,
+       round(a[1] / sqrt(list_inner_product(a, a)), 6) + 0.0 AS unit_x, a[3] AS swizzled, a[1] < 0 OR a[2] < 0 OR a[3] < 0 AS some_negative
+FROM t
+""")
+def short_vector_ops(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.slice(v, 1, 3).alias("a"), F.slice(v, 4, 3).alias("b"))
+    a, b, s = F.col("a"), F.col("b"), short_vectors
+    c = s.cross(a, b)
+    return t.select(
+        "idx", (F.round(s.dot(a, b), 6) + 0.0).alias("dot"), F.round(s.length(a), 6).alias("len"), F.round(s.distance(a, b), 6).alias("dist"),
+        *[(F.round(c[k], 6) + 0.0).alias(f"cross_{n}") for k, n in enumerate("xyz")], (F.round(s.normalize(a)[0], 6) + 0.0).alias("unit_x"),
+        s.shuffle(a, F.array(F.lit(2), F.lit(0), F.lit(1)))[0].alias("swizzled"), s.any_of(a).alias("some_negative"),
+    )
+
+
+@query("SELECT event_id AS idx, CAST(user_id AS DOUBLE) + value AS x, round(CAST(user_id AS DOUBLE) - value, 6) AS y FROM (SELECT * REPLACE (value AS value) FROM events)")
+def tie_swap(spark, d):
+    """Two outputs from two inputs at once: the old values on the right-hand sides."""
+    x, y = F.col("user_id").cast("double"), F.col("value")
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), (x + y).alias("x"), F.round(x - y, 6).alias("y"))
+
+
+@query("SELECT event_id AS idx, round(value * cos(0.3) - user_id * sin(0.3), 6) + 0.0 AS x, round(value * sin(0.3) + user_id * cos(0.3), 6) AS y FROM events")
+def rotation2d(spark, d):
+    x, y, c, s = F.col("value"), F.col("user_id"), math.cos(0.3), math.sin(0.3)
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), (F.round(x * c - y * s, 6) + 0.0).alias("x"), F.round(x * s + y * c, 6).alias("y"))
+
+
+@query("SELECT vec_id AS idx, " + ", ".join(f"round({k} * CAST(embedding[{k}] AS DOUBLE) + 0.5, 6) + 0.0 AS c{k - 1}" for k in range(1, 5)) + " FROM embeddings")
+def multivector_axpy(spark, d):
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), *[(F.round((k + 1) * e[k].cast("double") + 0.5, 6) + 0.0).alias(f"c{k}") for k in range(4)])
+
+
+@query("SELECT event_id AS idx, round(lgamma(value + 0.5), 6) + 0.0 AS log_gamma, round(gamma(value / 100 + 1), 6) AS gamma, nextafter(value, 1000.0) AS next FROM events")
+def special_functions(spark, d):
+    x = F.col("value")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), (F.round(special.FUNCTIONS["lgamma"](x + 0.5), 6) + 0.0).alias("log_gamma"),
+        F.round(special.FUNCTIONS["tgamma"](x / 100 + 1), 6).alias("gamma"), special.FUNCTIONS["nextafter"](x, F.lit(1000.0)).alias("next"),
+    )
+
+
+@query()
+def error_functions(spark, d):
+    """erf and erfc; SQL has neither."""
+    x = F.col("value") / 20
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("idx"), F.round(special.FUNCTIONS["erf"](x), 9).alias("erf"), F.round(special.FUNCTIONS["erfc"](x), 9).alias("erfc")
+    )
+
+
+@query("SELECT event_id AS idx, round(value * value + CAST(user_id AS DOUBLE) * user_id, 4) AS r FROM events")
+def udf_squared_radius(spark, d):
+    radius = symbolic.function(lambda m, x, y: x * x + y * y)
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), F.round(radius(F.col("value"), F.col("user_id").cast("double")), 4).alias("r"))
+
+
+@query("SELECT event_id AS idx, round(sin(value) * sin(value) + cos(value) * cos(value), 9) AS v FROM events")
+def udf_with_dependency(spark, d):
+    def square(x):
+        return x * x
+
+    one = symbolic.function(lambda m, x: square(m.sin(x)) + square(m.cos(x)))
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), F.round(one(F.col("value")), 9).alias("v"))
+
+
+@query("SELECT event_id AS idx, round(value + 0.01 * sin(value + 0.005 * sin(value)), 9) AS x FROM events")
+def symbolic_rk2_step(spark, d):
+    v = vectors.vector(table(spark, d, "events"), "event_id", x="value")
+    return symbolic.step(v, symbolic.runge_kutta_2(lambda m, x: m.sin(x), 0.01), ["x"]).select("idx", F.round("x", 9).alias("x"))
+
+
+@query("""
+WITH RECURSIVE s AS (
+  SELECT event_id AS idx, 0 AS k, value AS x FROM events
+  UNION ALL
+  SELECT idx, k + 1, x + 0.01 * sin(x + 0.005 * sin(x)) FROM s WHERE k < 100)
+SELECT idx, round(x, 6) AS x FROM s WHERE k = 100
+""")
+def symbolic_rk2_100_steps(spark, d):
+    v = vectors.vector(table(spark, d, "events"), "event_id", x="value")
+    return symbolic.iterate(v, symbolic.runge_kutta_2(lambda m, x: m.sin(x), 0.01), ["x"], 100).select("idx", F.round("x", 6).alias("x"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT range AS idx, 0.1 + range * 0.4 AS r FROM range(125)),
+s AS (
+  SELECT idx, r, 0 AS n, 10.0::DOUBLE AS x, 10.0::DOUBLE AS y, 10.0::DOUBLE AS z FROM p
+  UNION ALL
+  SELECT idx, r, n + 1,
+         x + 0.0005 / 6 * (k1x + 2 * k2x + 2 * k3x + 10 * ((y + 0.0005 * k3y) - (x + 0.0005 * k3x))),
+         y + 0.0005 / 6 * (k1y + 2 * k2y + 2 * k3y + (r * (x + 0.0005 * k3x) - (y + 0.0005 * k3y) - (x + 0.0005 * k3x) * (z + 0.0005 * k3z))),
+         z + 0.0005 / 6 * (k1z + 2 * k2z + 2 * k3z + ((x + 0.0005 * k3x) * (y + 0.0005 * k3y) - 8.0 / 3.0 * (z + 0.0005 * k3z)))
+  FROM (SELECT *, 10 * ((y + 0.00025 * k2y) - (x + 0.00025 * k2x)) AS k3x,
+               r * (x + 0.00025 * k2x) - (y + 0.00025 * k2y) - (x + 0.00025 * k2x) * (z + 0.00025 * k2z) AS k3y,
+               (x + 0.00025 * k2x) * (y + 0.00025 * k2y) - 8.0 / 3.0 * (z + 0.00025 * k2z) AS k3z
+        FROM (SELECT *, 10 * ((y + 0.00025 * k1y) - (x + 0.00025 * k1x)) AS k2x,
+                     r * (x + 0.00025 * k1x) - (y + 0.00025 * k1y) - (x + 0.00025 * k1x) * (z + 0.00025 * k1z) AS k2y,
+                     (x + 0.00025 * k1x) * (y + 0.00025 * k1y) - 8.0 / 3.0 * (z + 0.00025 * k1z) AS k2z
+              FROM (SELECT *, 10 * (y - x) AS k1x, r * x - y - x * z AS k1y, x * y - 8.0 / 3.0 * z AS k1z FROM s WHERE n < 20))))
+SELECT idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s WHERE n = 20
+""")
+def lorenz_20_steps(spark, d):
+    p = spark.range(125).select(F.col("id").alias("idx"), (0.1 + F.col("id") * 0.4).alias("r"), *[F.lit(10.0).alias(c) for c in "xyz"])
+    out = symbolic.iterate(p, symbolic.runge_kutta_4(symbolic.lorenz, 0.0005), ["x", "y", "z"], 20, ["r"])
+    return out.select("idx", *[F.round(c, 6).alias(c) for c in "xyz"])
