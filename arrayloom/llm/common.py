@@ -50,6 +50,38 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a membership sketch: 1 MB, at most 131072 rows when it is broadcast.
+SKETCH_BITS = 1 << 23
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SKETCH_BITS))
+
+
+def _sketched(df: DataFrame, key: str, members: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _slot(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(_slot(F.col(key)), 6)
+    bits = members.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = df.withColumn("__word", word).join(F.broadcast(bits), "__word", how)
+    return joined, F.coalesce(F.col("__bits").bitwiseAND(bit), F.lit(0).cast("long")) != 0
+
+
+def maybe_among(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be one of ``members``; none that is is lost.
+
+    A sketch of SKETCH_BITS bits is broadcast, whatever the members' number, so
+    that most other rows needn't be shuffled to the exact join that follows.
+    """
+    joined, hit = _sketched(df, key, members, "inner")
+    return joined.where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def surely_not_among(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """The other rows, null keys included."""
+    joined, hit = _sketched(df, key, members, "left")
+    return joined.where(~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def let(value: Column, f) -> Column:
     """f(value), with value computed once even where f uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), f), 1)

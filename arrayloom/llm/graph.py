@@ -8,36 +8,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import Scratch
+from arrayloom.llm.common import Scratch, maybe_among
 
-#: Members of a posting list that are outside its main component and are still
-#: paired with the whole list in one step; more are worn down by leaders first.
-FEW = 24
-#: Leaders of a list in one round, and rounds before the rest is paired in full.
-LEADERS, ROUNDS = 8, 4
+#: Edges of a graph that one task works on (a few MB); larger ones are dealt out.
+SMALL_GRAPH = 200_000
+#: A posting list of so few members that its pairs between components are made.
+SHORT = 16
+#: Members of a block, and the most bytes that one should hold.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _in_one_task(batches):
+    """Union-find over all batches; one row a node."""
+    root: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        at = x
+        while root.setdefault(at, at) != at:
+            at = root[at]
+        while root[x] != at:
+            root[x], x = at, root[x]
+        return at
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = of(a), of(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([of(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, scratch: Scratch, native: bool = False) -> DataFrame:
     """node, label (smallest node reachable) for every node of ``edges`` (a, b).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): either
     is a minimum per node and a join, so a hub costs no single task. Every
     step is a written table, and the last has one row a node but for the
-    labels themselves.
+    labels themselves. A graph of at most SMALL_GRAPH edges takes the same steps
+    in one task, without an exchange; unless ``native``, that is a union-find.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def table(least: DataFrame, small: bool) -> DataFrame:
+        return least if small else scratch.save(least, "least")
+
+    def star(e: DataFrame, large: bool, small: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if small else both
         if large:
-            least = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+            least = table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), small)
             out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             down = both.where("b < a")
-            least = scratch.save(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+            least = table(down.groupBy("a").agg(F.min("b").alias("m")), small)
             out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        out = out.coalesce(1) if small else out
         return out.where("a <> b").distinct()
 
     def state(e: DataFrame):
@@ -46,8 +74,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(e)
+    if seen[0] <= SMALL_GRAPH and not native:
+        return scratch.save(e.coalesce(1).mapInArrow(_in_one_task, "node bigint, label bigint"), "labels")
     while seen[0]:
-        old, e = e, scratch.save(star(star(e, True), False), "edges")
+        old, small = e, seen[0] <= SMALL_GRAPH
+        e = e.coalesce(1) if small else e
+        mid = star(e, True, small)
+        mid = mid.coalesce(1) if small else scratch.save(mid, "edges")
+        e = scratch.save(star(mid, False, small).coalesce(1) if small else star(mid, False, small), "edges")
         scratch.drop(old)
         now = state(e)
         if now == seen:
@@ -58,56 +92,96 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def link_lists(
     postings: DataFrame,
+    sizes: DataFrame,
     check: Callable[[DataFrame], DataFrame],
+    check_blocks: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    known: DataFrame | None = None,
+    merge: bool = True,
+    native: bool = False,
 ) -> DataFrame:
-    """Components of the links that ``check`` finds between members of a list.
-
-    ``postings`` (key, node) are distinct; ``check`` takes distinct candidate
-    pairs (a > b) and returns those that are links. ``known`` are links already
-    found. Every pair of nodes that share a list is either checked or already
-    known to be in one component, but far fewer pairs than all are made: a list
-    is linked to its leader; when that leaves several components, the members
-    outside the leader's are paired with the list if they are few, or give
-    further leaders. Members of one component are never paired (skipped).
+    """node, label of the components of the links between members of a list.
+
+    ``postings`` (key, node) are distinct; ``sizes`` (node, size) has about the
+    bytes that a node's comparison holds. Any two nodes that share a list are
+    checked or already in one component, and no list gives all its pairs:
+
+    1. Every member is checked against the list's leader, its least node.
+    2. Members of one component are skipped from then on, and so are lists
+       whose members, but for the leader, are of one component.
+    3. Lists of at most SHORT members give their pairs between components.
+    4. The longer ones that are left are joined to clusters, as the lists of a
+       large family have much the same members; with ``merge`` false every
+       list is a cluster of its own. The nodes outside
+       a cluster's largest component are compared with all its nodes block by
+       block, inside tasks: a node travels once for each block that it meets.
+
+    ``check`` takes distinct pairs (a, b); ``check_blocks`` takes rows (cluster,
+    x, y, head, node, label), and compares heads and other rows of equal
+    (cluster, x, y) whose labels differ. Both return the links (a, b).
     """
-    # a table of its own, so that the join below can split a long list
-    sized = scratch.save(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "sized")
-    lists = postings.join(sized, "key")
-    pairs = lists.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    # tables of their own, so that joins can split a long list
+    sized = scratch.save(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
+    lists = scratch.save(maybe_among(postings, "key", sized).join(sized, "key"), "posted")
+    leaders = scratch.save(lists.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
+    lists = lists.join(leaders, "key").where("node <> leader")
+    pairs = lists.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = scratch.save(check(pairs).select("a", "b"), "links")
-    rest = scratch.save(lists.where("n > 2 and node <> leader").select("key", "node", "leader"), "lists")
-    if known is not None:
-        links = links.union(known.select("a", "b"))
-    label = components(links, scratch)
-    r = 0
-    while True:
-        now = rest.join(label, "node", "left").select("key", "node", "leader", F.coalesce("label", "node").alias("label"))
-        # the leader is its component's name in the list: it has met all members
-        main = label.select(F.col("node").alias("leader"), F.col("label").alias("main"))
-        now = now.join(main, "leader", "left").withColumn("main", F.coalesce("main", "leader"))
-        out = F.col("label") != F.col("main")
-        first = [F.min(F.when(out, F.struct(F.xxhash64("node", F.lit(r * LEADERS + k)).alias("h"), F.col("node").alias("x")))).x.alias(f"x{k}") for k in range(LEADERS)]
-        kept = now.groupBy("key").agg(
-            F.count_if(out).alias("outside"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.array_distinct(F.array(*first)).alias("next")
-        )
-        kept = scratch.save(kept.where("outside > 0 and lo <> hi"), "open")
-        state = kept.agg(F.count("*"), F.count_if(F.col("outside") > FEW)).first()
-        if not state[0]:
-            return label
-        now = scratch.save(now.join(kept.drop("n", "lo", "hi"), "key"), "now")
-        whole = F.lit(True) if r >= ROUNDS else F.col("outside") <= FEW
-        # few outsiders: each of them with the list; else the next leaders with the list
-        heads = now.where(whole & out).select("key", F.col("node").alias("x"), F.col("label").alias("lx")).union(
-            now.where(~whole & out & F.array_contains("next", F.col("node"))).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    label = components(links, scratch, native)
+    rest = lists.where("n > 2").join(label, "node", "left").select("key", "n", "leader", "node", F.coalesce("label", "node").alias("label"))
+    rest = scratch.save(rest, "lists")
+    opened = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rest = scratch.save(rest.join(scratch.save(opened, "open"), "key"), "rest")
+
+    few = rest.where(F.col("n") <= SHORT).select("key", "node", "label")
+    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = few.join(other, "key").where("node > b and label <> lb").select(F.col("node").alias("a"), "b").distinct()
+    links = links.union(scratch.save(check(pairs).select("a", "b"), "links"))
+
+    long = rest.where(F.col("n") > SHORT)
+    if long.head(1):
+        if merge:
+            edges = long.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            cluster = components(edges, scratch, native).select("node", F.col("label").alias("cluster"))
+            member = long.select("node", "label").distinct().join(cluster, "node")
+        else:
+            member = long.select("node", "label", F.col("key").alias("cluster"))
+        member = scratch.save(member.join(sizes, "node"), "members")
+        parts = member.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        whole = parts.groupBy("cluster").agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("n").alias("most"), F.max_by("size", F.struct("n", "label")).alias("own")
         )
-        found = now.select("key", "node", "label").join(heads, "key").where("label <> lx and node <> x")
-        pairs = found.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
-        more = scratch.save(check(pairs).select("a", "b"), "links")
-        links = links.union(more)
-        label = components(links, scratch)
-        rest = scratch.save(now.where(~whole & ~F.array_contains("next", F.col("node"))).select("key", "node", "leader"), "lists")
-        r += 1
-        if not state[1] or r > ROUNDS:
-            return label
+
+        def blocks(n, size):
+            return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+        whole = whole.select("cluster", "main", blocks(F.col("n") - F.col("most"), F.col("size") - F.col("own")).alias("nx"), blocks(F.col("n"), F.col("size")).alias("ny"))
+        placed = member.join(scratch.save(whole, "clusters"), "cluster")
+
+        def one(n, salt):
+            return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+        def every(n):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        heads = placed.where("label <> main").select("cluster", one("nx", 1).alias("x"), every("ny").alias("y"), F.lit(True).alias("head"), "node", "label")
+        others = placed.select("cluster", every("nx").alias("x"), one("ny", 2).alias("y"), F.lit(False).alias("head"), "node", "label")
+        links = links.union(scratch.save(check_blocks(heads.union(others)).select("a", "b"), "links"))
+    return components(links, scratch, native)
+
+
+def linked(labels, pairs, same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """The pairs of places that ``same`` accepts, without those that are joined by then."""
+    root: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    found = []
+    for i, j in pairs:
+        p, q = of(labels[i]), of(labels[j])
+        if p != q and same(i, j):
+            root[max(p, q)] = min(p, q)
+            found.append((i, j))
+    return found

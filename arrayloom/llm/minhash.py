@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm import graph
-from arrayloom.llm.common import Scratch
+from arrayloom.llm.common import Scratch, maybe_among
 from arrayloom.llm.wordhash import WordHasher, as_long, chunks, distinct, mix, shingles, utf8
 
 COORDINATES = 64
@@ -51,11 +51,24 @@ def set_key(s: np.ndarray) -> int:
     return int(as_long(mix(np.array([x & (1 << 64) - 1], np.uint64)))[0]) or 1
 
 
+_ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """The coordinates, a row for each of some sets that aren't empty."""
+    sign = np.zeros((len(sets), COORDINATES), np.uint64)
+    if len(sets):
+        flat = np.concatenate(sets)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
+        for c in range(COORDINATES):
+            sign[:, c] = np.minimum.reduceat(flat * _ODD[c], first)
+        sign = mix(sign + np.arange(COORDINATES, dtype=np.uint64))
+    return sign
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), key (of the set; null if empty) and signature."""
     schema = "doc_id bigint, n bigint, key bigint, signature array<bigint>"
-    odd = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
-
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
@@ -67,13 +80,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 some = np.array([len(x) > 0 for x in sets], dtype=bool)
                 n = np.array([len(x) for x in sets], np.int64)
                 keys = np.array([set_key(x) for x in sets], np.int64)
-                sign = np.zeros((int(some.sum()), COORDINATES), np.uint64)
-                if len(sign):
-                    flat = np.concatenate([x for x in sets if len(x)])
-                    first = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-                    for c in range(COORDINATES):
-                        sign[:, c] = np.minimum.reduceat(flat * odd[c], first)
-                    sign = mix(sign + np.arange(COORDINATES, dtype=np.uint64))
+                sign = signatures([x for x in sets if len(x)])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(some) * COORDINATES]).astype(np.int32)), pa.array(as_long(sign.reshape(-1)))
                 )
@@ -128,6 +135,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def confirm_blocks(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links between heads and other rows of each block, by signature and then full sets."""
+    least = least_matches(percent)
+    rows = blocks.join(texts.withColumnRenamed("key", "node"), "node").select("cluster", "x", "y", "head", "node", "label", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        hasher = WordHasher()
+        sets: list[np.ndarray] = []
+        for part in t["text"].chunks:
+            raw, offsets = utf8(part)
+            for lo, hi in chunks(offsets):
+                h, at = hasher.words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                sets += distinct(*shingles(h, at, k))
+        sign, n = signatures(sets), np.array([len(x) for x in sets])
+        head, label, node = t["head"].to_numpy(), t["label"].to_numpy(), t["node"].to_pylist()
+        rest = np.flatnonzero(~head)
+        pairs = []
+        for i in np.flatnonzero(head):
+            matches = (sign[rest] == sign[i]).sum(axis=1)
+            fits = (matches >= least) & (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            pairs += [(-int(matches[j]), int(i), int(rest[j])) for j in np.flatnonzero(fits)]
+
+        def same(i: int, j: int) -> bool:
+            common = shared(sets[i], sets[j])
+            return 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common)
+
+        found = graph.linked(label.tolist(), [p[1:] for p in sorted(pairs)], same)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+    return rows.groupBy("cluster", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -154,16 +193,17 @@ def near_duplicates(
     # values that several sets hold, and of these the rarest of each set
     values = nodes.select(F.col("key").alias("node"), F.explode("signature").alias("key"))
     common = scratch.save(values.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "values")
-    posted = values.join(common, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("v"))
+    posted = maybe_among(values, "key", common).join(common, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("v"))
     alone = COORDINATES - F.size("v")
     posted = posted.where(alone < prefix).select("node", F.explode(F.slice("v", F.lit(1), prefix - alone)).alias("v"))
     postings = scratch.save(posted.select(F.col("v.key").alias("key"), "node"), "postings")
 
     # the texts of the nodes that are posted at all
-    chosen = nodes.join(postings.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("key", F.col("least").alias("doc_id"))
-    again = sketches_keys(rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), shingle)
-    texts = scratch.save(again.join(chosen, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
-    sizes = nodes.select("key", "n", "signature")
+    chosen = scratch.save(nodes.join(postings.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("key", F.col("least").alias("doc_id"), "n", "signature"), "chosen")
+    ids = chosen.select("doc_id").distinct()
+    again = sketches_keys(maybe_among(rows, "doc_id", ids).join(ids, "doc_id", "left_semi"), shingle)
+    texts = scratch.save(again.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
+    sizes = chosen.select("key", "n", "signature")
 
     def check(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
@@ -172,7 +212,13 @@ def near_duplicates(
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (matches >= least)
         return confirm(scratch.save(right.where(fits).select("a", "b"), "pairs"), texts, shingle, percent)
 
-    label = graph.link_lists(postings, check, scratch)
+    label = graph.link_lists(
+        postings,
+        nodes.select(F.col("key").alias("node"), (F.col("n") * 16).alias("size")),
+        check,
+        lambda blocks: confirm_blocks(blocks, texts, shingle, percent),
+        scratch,
+    )
     member = nodes.join(label.select(F.col("node").alias("key"), "label"), "key", "left").select(
         "key", "least", F.coalesce("label", "key").alias("label")
     )

@@ -1,0 +1,104 @@
+"""Surrogates, shards and the pipeline: exact round trips and planted cases."""
+
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from arrayloom.llm import shards, surrogates
+from arrayloom.llm.common import Scratch, maybe_among, surely_not_among
+
+SF = "/root/testdata/sf0.001"
+TEXTS = [
+    None,
+    "",
+    "Nothing personal here, 12 apples at 3.50.",
+    "Write to Mr. John Smith, john.smith42@Mail.example.com or +1 (407) 555-7710.",
+    "Mrs. Smith and Mr Smith; JOHN SMITH; john.smith42@mail.example.com again.",
+    "Card 4111 1111 1111 1111 is 4111111111111111; SSN 123-45-6789; IBAN DE89 3704 0044 0532 0130 00.",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 10.1.2.3 and 97.51.17.173',
+    "Иван Петров и Мария Петрова",
+    "x" * 300_000 + "@",
+    "a " * 50_000 + "b@c.example.org",
+]
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(TEXTS)], "doc_id long, text string, draws string")
+    rows = {r["doc_id"]: r for r in surrogates.replace_entities(df).collect()}
+    assert len(rows) == len(TEXTS)
+    assert [rows[i]["text"] for i in (0, 1, 2, 8)] == [TEXTS[i] for i in (0, 1, 2, 8)] and rows[2]["n_entities"] == 0
+    mail = re.search(r"\S+@\S+\.com", rows[3]["text"])[0]
+    assert mail in rows[4]["text"] and mail != "john.smith42@mail.example.com" and re.fullmatch(r"[a-z]{4}\.[a-z]{5}\d\d@[a-z]{4}\.[a-z]{7}\.com", mail)
+    last = re.search(r"Mrs\. (\w+) and Mr (\w+); (\w+) (\w+)", rows[4]["text"])
+    assert last[1] == last[2] == last[4].capitalize() != "Smith" and last[3].capitalize() in surrogates.GIVEN["latin", "m"]
+    a, b = re.search(r"Card ([\d ]+) is (\d+)", rows[5]["text"]).groups()
+    assert a.replace(" ", "") == b and surrogates.luhn(b) and b != "4111111111111111" and a[4] == " "
+    iban = re.search(r"IBAN (.+)\.", rows[5]["text"])[1]
+    assert surrogates.iban_ok(iban.replace(" ", "")) and iban.startswith("DE") and iban != "DE89 3704 0044 0532 0130 00"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" from 10\.[\d.]+ and (?!97\.51)[\d.]+', rows[6]["text"])
+    assert re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+ и [А-Я][а-я]+ [А-Я][а-я]+а", rows[7]["text"])
+    assert "b@c.example.org" not in rows[9]["text"]
+    again = surrogates.replace_entities(df, key=b"other").where("doc_id = 3").first()["text"]
+    assert mail not in again
+    assert surrogates.replace_entities(df.limit(0)).count() == 0
+
+
+def test_permutation_is_one_to_one():
+    p = surrogates.Permutation(b"k", "t", 1000)
+    assert sorted(map(p, range(1000))) == list(range(1000))
+    even = [p(x, lambda y: y % 2 == 0) for x in range(0, 1000, 2)]
+    assert sorted(even) == list(range(0, 1000, 2))
+
+
+def test_shared_surnames_draw_again(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "bo"])
+    monkeypatch.setitem(surrogates.ENDINGS, "latin", ["berg"])
+    names = [f"Mr. {a}{b}son went." for a in ("Al", "Be", "Co", "Du") for b in ("ma", "ne", "ri")]
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    out = [r["text"] for r in surrogates.replace_entities(df).collect()]
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
+def test_sketch_loses_nothing(spark):
+    df = spark.range(2000).withColumn("k", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")))
+    some = spark.range(0, 2000, 10).select(F.col("id").alias("k"))
+    hit, miss = maybe_among(df, "k", some), surely_not_among(df, "k", some)
+    assert hit.count() + miss.count() == 2000 and miss.join(some, "k").count() == 0 and hit.count() < 400
+
+
+def test_store_commits_compacts_and_reads(spark):
+    store = shards.ShardStore(spark, Scratch(spark, "store").base, target_bytes=1 << 20, base_bytes=1 << 10)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shards.ingest(docs, store, 8)
+    want = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    back = store.read()
+    assert back.columns == docs.columns and sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in back.collect()) == want
+    m = store.manifest()
+    assert sum(s.n_rows for s in m.shards) == len(want) and len(m.shards) < 8
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "x", "y", 0), (1, "", "x", "y", 0)], docs.schema)
+    store.append(odd)
+    store.append(odd.limit(0))
+    assert store.read().count() == len(want) + 3 and store.read(m.version).count() == len(want)
+    with pytest.raises(shards.Conflict):
+        store.commit(shards.Manifest(m.version + 1, m.schema, ()))
+    assert store.read().count() == len(want) + 3
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "benchmark_decontamination", "pack"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scratch, last = Scratch(spark, "pipeline-test"), docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.save(stage(spark, last, SF), name)
+        if name != "pack":
+            assert out.columns == docs.columns and out.join(last, "doc_id", "left_anti").count() == 0
+            last = out
+    packed = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("want"))
+    assert packed.where("n <> want").count() == 0 and packed.count() == last.count()
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not any(x in r["text"] for r in last.collect() for x in items)
+    assert last.count() > 0.5 * docs.count()
