@@ -23,6 +23,9 @@ PHILOX_4X64_MULTIPLIERS = (0xD2E7470EE14C6C93, 0xCA5A826395121157)
 PHILOX_64_WEYL = (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B)
 THREEFRY_32_PARITY = 0x1BD11BDA
 THREEFRY_2X32_ROTATIONS = (13, 15, 26, 6, 17, 29, 16, 24)
+THREEFRY_64_PARITY = 0x1BD11BDAA9FC1A22
+THREEFRY_2X64_ROTATIONS = (16, 42, 12, 31, 16, 32, 24, 21)
+THREEFRY_4X64_ROTATIONS = ((14, 16), (52, 57), (23, 40), (5, 37), (25, 33), (46, 12), (58, 22), (32, 32))
 THREEFRY_4X32_ROTATIONS = ((10, 26), (11, 21), (13, 27), (23, 5), (6, 20), (17, 11), (25, 10), (18, 20))
 #: Key words of all streams.
 KEY = 0x12345678
@@ -72,7 +75,8 @@ def philox(df: DataFrame, counters: list[Column], keys: list[int], rounds: int =
 
 
 def threefry(df: DataFrame, counters: list[Column], keys: list[int], rounds: int = 20) -> tuple[DataFrame, list[str]]:
-    """As ``philox``. With four words, rounds mix (0, 1) and (2, 3) alone."""
+    """As ``philox``. With four words, rounds mix (0, 1) and (2, 3) alone, and
+    the two rotations change places in every odd round."""
     n = len(counters)
     words = [f"__w{k}" for k in range(n)]
     parity = THREEFRY_32_PARITY
@@ -85,7 +89,7 @@ def threefry(df: DataFrame, counters: list[Column], keys: list[int], rounds: int
         new = []
         for p in range(0, n, 2):
             a, b = F.col(words[p]), F.col(words[p + 1])
-            turn = THREEFRY_2X32_ROTATIONS[r % 8] if n == 2 else THREEFRY_4X32_ROTATIONS[r % 8][p // 2]
+            turn = THREEFRY_2X32_ROTATIONS[r % 8] if n == 2 else THREEFRY_4X32_ROTATIONS[r % 8][(p // 2 + r) % 2]
             s = _low(a + b)
             new += [s, rotate(b, turn).bitwiseXOR(s)]
         d = _step(d, words, new)
@@ -140,21 +144,44 @@ def normal(df: DataFrame, seed: int = 0, generator: str = "philox", counter: str
     return _as(d, w, **made)
 
 
-def philox_64(df: DataFrame, seed: int = 0, n: int = 2, rounds: int = 10, counter: str = "idx", out: str = "words") -> DataFrame:
+_M64 = (1 << 64) - 1
+
+
+def _philox_64(w: list[int], k: list[int], rounds: int = 10) -> list[int]:
+    for _ in range(rounds):
+        if len(w) == 2:
+            p = PHILOX_2X64_MULTIPLIER * w[0]
+            w = [p >> 64 ^ k[0] ^ w[1], p & _M64]
+        else:
+            p, q = PHILOX_4X64_MULTIPLIERS[0] * w[0], PHILOX_4X64_MULTIPLIERS[1] * w[2]
+            w = [q >> 64 ^ w[1] ^ k[0], q & _M64, p >> 64 ^ w[3] ^ k[1], p & _M64]
+        k = [(x + y) & _M64 for x, y in zip(k, PHILOX_64_WEYL)]
+    return w
+
+
+def _threefry_64(w: list[int], k: list[int], rounds: int = 20) -> list[int]:
+    n, parity = len(w), THREEFRY_64_PARITY
+    for x in k:
+        parity ^= x
+    ks = [*k, parity]
+    w = [(x + y) & _M64 for x, y in zip(w, ks)]
+    for r in range(rounds):
+        for p in range(0, n, 2):
+            t = THREEFRY_2X64_ROTATIONS[r % 8] if n == 2 else THREEFRY_4X64_ROTATIONS[r % 8][(p // 2 + r) % 2]
+            w[p] = (w[p] + w[p + 1]) & _M64
+            w[p + 1] = ((w[p + 1] << t | w[p + 1] >> (64 - t)) & _M64) ^ w[p]
+        if r % 4 == 3:
+            i = (r + 1) // 4
+            w = [(x + ks[(i + j) % (n + 1)] + (i if j == n - 1 else 0)) & _M64 for j, x in enumerate(w)]
+    return w
+
+
+def words_64(df: DataFrame, seed: int = 0, n: int = 2, generator: str = "philox", counter: str = "idx", out: str = "words") -> DataFrame:
     """2 or 4 words of 64 bits (as signed bigints), by Python integers in Arrow batches."""
-    m64 = (1 << 64) - 1
+    f, keys = (_philox_64, n // 2) if generator == "philox" else (_threefry_64, n)
 
     def one(c: int) -> list[int]:
-        w, k = [c & m64, seed & m64] * (n // 2), [KEY] * (n // 2)
-        for _ in range(rounds):
-            if n == 2:
-                p = PHILOX_2X64_MULTIPLIER * w[0]
-                w = [p >> 64 ^ k[0] ^ w[1], p & m64]
-            else:
-                p, q = PHILOX_4X64_MULTIPLIERS[0] * w[0], PHILOX_4X64_MULTIPLIERS[1] * w[2]
-                w = [q >> 64 ^ w[1] ^ k[0], q & m64, p >> 64 ^ w[3] ^ k[1], p & m64]
-            k = [(x + y) & m64 for x, y in zip(k, PHILOX_64_WEYL)]
-        return [x - (1 << 64) if x >> 63 else x for x in w]
+        return [x - (1 << 64) if x >> 63 else x for x in f([c & _M64, seed & _M64] * (n // 2), [KEY] * keys)]
 
     def run(batches):
         for b in batches:
