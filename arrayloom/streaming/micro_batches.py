@@ -16,7 +16,8 @@ def elementwise(stream: DataFrame, **columns: Column) -> DataFrame:
 def windowed_fold(stream: DataFrame, time: str, width: str, late: str, keys: list[str], **aggregates: Column) -> DataFrame:
     """Aggregates by event-time window and keys; state older than ``late`` is dropped."""
     w = F.window(F.col(time), width)
-    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*[a.alias(n) for n, a in aggregates.items()]).select(F.col("w.start").alias("start"), *keys, *aggregates)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*[a.alias(n) for n, a in aggregates.items()]).select(F.col("w.start").alias("start"), *keys, *aggregates)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None):
