@@ -243,3 +243,29 @@ def test_decontamination_by_all_windows(spark):
     got = {(w, i) for w, i, _ in index.near(prints, 30)}
     want = {(w, i) for w, x in enumerate(prints.tolist()) for i, y in enumerate(index.sign.tolist()) if bin(x ^ y).count("1") <= decontaminate.RADIUS}
     assert got == want and len(want) >= 120
+
+
+def test_lines_by_edit_similarity_of_all_pairs(spark):
+    """Changed words and typing errors in lines of 8 to 40 words, against all pairs."""
+    r = random.Random(12)
+    rows = []
+    for n in (8, 10, 20, 40):
+        for _ in range(15):
+            base = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n))
+            w = base.split(" ")
+            w[r.randrange(n)] = "other"
+            c = list(base)
+            for _ in range(max(1, n // 10)):
+                c[r.randrange(len(c))] = "z"
+            rows += [base, " ".join(w), "".join(c), " ".join(w[: n // 2] + ["more"] + w[n // 2 :])]
+    rows = list(enumerate(rows))
+    u, pairs = Union(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a - a % 4, a):  # lines of other bases are far
+            if near_texts(rows[a][1], rows[b][1]):
+                pairs += 1
+                u.join(a, b)
+    want = {a for a, _ in rows if u.find(a) != a}
+    got = {x["doc_id"] for x in lines.dedup_lines(frame(spark, rows)).collect() if x["__n_gone"]}
+    assert pairs > 200 and got <= want
+    assert len(got) >= 0.98 * len(want)
