@@ -2,9 +2,10 @@
 
 Every window of a document that is as long as a benchmark item, in words, has a
 SimHash, the bitwise majority of its words' hashes. Fingerprints within
-``RADIUS`` bits of an item's are found by four blocks of 16 bits: one block at
-least differs in no more than a quarter of RADIUS bits, so looking up all such
-values of every block misses none. What is found is verified on the windows'
+``RADIUS`` bits of an item's are found by comparison with all items of that size,
+which misses none of them; RADIUS is wide, so that windows of the wanted
+similarity are seldom beyond it. A document shorter than an item is compared
+with it as a whole, whatever the fingerprints. What is found is verified on the windows'
 5-word shingles: the sum of smaller counts over the sum of larger counts, each
 shingle weighted by the bytes of its words. As that similarity is zero without
 a common shingle, only windows that hold a shingle of an item of their size are
@@ -31,12 +32,11 @@ from pyspark.sql import functions as F
 
 from arrayloom.llm.wordhash import ByteRules, WordHasher, chunks, sequences, shingles, utf8
 
-RADIUS = 11
+RADIUS = 24
 K = 5
 BLOCK_BYTES = 8 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MATCHES = "doc_id bigint, item_id bigint, start bigint, n_words bigint, similarity double, distance bigint"
-_NEAR = np.array([0] + [1 << a for a in range(16)] + [1 << a | 1 << b for a in range(16) for b in range(a)], dtype=np.uint64)
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -103,45 +103,44 @@ class ItemIndex:
         self.bits = max(16, (16 * len(self.anchors)).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.anchors >> np.uint64(64 - self.bits)] = True
-        self.tables = []
-        for b in range(4):
-            v = (self.sign >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            order = np.argsort(v, kind="stable")
-            self.tables.append((v[order], order))
+        self.weight = [sum(c * s[1] for s, c in x.items()) for x in self.counts]
+        self.of_size = {n: np.flatnonzero(self.n == n) for n in np.unique(self.n).tolist()}
 
     def near(self, prints: np.ndarray, n: int) -> list[tuple[int, int, int]]:
         """(window, item, distance) of items of n words within RADIUS of ``prints``."""
-        pairs = []
-        for b, (values, order) in enumerate(self.tables):
-            probe = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF))[:, None] ^ _NEAR
-            lo = np.searchsorted(values, probe)
-            many = np.searchsorted(values, probe, side="right") - lo
-            w, c = np.nonzero(many)
-            m = many[w, c]
-            if len(m):
-                at = np.repeat(lo[w, c], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                pairs.append(np.stack([np.repeat(w, m), order[at]], axis=1))
-        if not pairs:
-            return []
-        found = np.unique(np.concatenate(pairs), axis=0)
-        found = found[self.n[found[:, 1]] == n]
-        away = np.bitwise_count(prints[found[:, 0]] ^ self.sign[found[:, 1]])
-        good = away <= RADIUS
-        return [(int(w), int(i), int(d)) for (w, i), d in zip(found[good], away[good], strict=True)]
+        items = self.of_size.get(n, np.zeros(0, np.int64))
+        found = []
+        for part in range(0, len(items), 256):
+            some = items[part : part + 256]
+            away = np.bitwise_count(prints[:, None] ^ self.sign[some])
+            w, c = np.nonzero(away <= RADIUS)
+            found += zip(w.tolist(), some[c].tolist(), away[w, c].tolist(), strict=True)
+        return sorted(found)
 
     def matches(self, h: np.ndarray, sizes: np.ndarray, hits: np.ndarray, s: np.ndarray, percent: int) -> dict[int, tuple]:
-        """item -> (similarity, start, distance), the best window of one document.
+        """item -> (similarity, start, distance, words), the best window of one document.
 
         ``hits`` are the places among its shingles ``s`` that may be anchors.
         """
         best: dict[int, tuple] = {}
         spans: dict[int, list[np.ndarray]] = {}
+        longer: set[int] = set()
         at = np.searchsorted(self.anchors, s[hits])
         for p, a in zip(hits.tolist(), at.tolist(), strict=True):
             if a < len(self.anchors) and self.anchors[a] == s[p]:
                 for n in self.sizes_of[a]:
                     if n <= len(h):
                         spans.setdefault(n, []).append((max(0, p - n + K), min(p, len(h) - n)))
+                    else:
+                        longer.add(n)
+        if longer:
+            whole = weighted(h, sizes)
+            total = sum(c * s[1] for s, c in whole.items())
+            sign = simhashes(h, np.array([0]), len(h))[0]
+            for i in (i for n in longer for i in self.of_size[n].tolist() if 100 * total >= percent * self.weight[i]):
+                x = similarity(whole, self.counts[i])
+                if 100 * x >= percent:
+                    best[i] = (x, 0, int(np.bitwise_count(sign ^ self.sign[i])), len(h))
         for n, ranges in spans.items():
             inside = np.zeros(len(h) + 2, np.int32)
             for lo, hi in ranges:
@@ -156,12 +155,12 @@ class ItemIndex:
                         counted[w] = weighted(h[at_word : at_word + n], sizes[at_word : at_word + n])
                     x = similarity(counted[w], self.counts[i])
                     if 100 * x >= percent and (i not in best or (x, -at_word) > (best[i][0], -best[i][1])):
-                        best[i] = (x, at_word, d)
+                        best[i] = (x, at_word, d, n)
         for n, items in self.short.items():
             found = sequences(h, n)
             for p in np.flatnonzero(np.isin(found, np.array(sorted(items), np.uint64))):
                 for i in items[int(found[p])]:
-                    best.setdefault(i, (1.0, int(p), 0))
+                    best.setdefault(i, (1.0, int(p), 0, n))
         return best
 
     def scan(self, column: pa.Array, percent: int):
@@ -209,9 +208,9 @@ def find(
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 found = [
-                    (ids[r], index.ids[i], start, int(index.n[i]), x, d)
+                    (ids[r], index.ids[i], start, n, x, d)
                     for r, best in index.scan(batch.column(1), percent)
-                    for i, (x, start, d) in sorted(best.items())
+                    for i, (x, start, d, n) in sorted(best.items())
                 ]
                 columns = zip(*found, strict=True) if found else [[]] * 6
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]

@@ -269,3 +269,33 @@ def test_lines_by_edit_similarity_of_all_pairs(spark):
     got = {x["doc_id"] for x in lines.dedup_lines(frame(spark, rows)).collect() if x["__n_gone"]}
     assert pairs > 200 and got <= want
     assert len(got) >= 0.98 * len(want)
+
+
+def test_decontamination_by_similarity():
+    """Documents shorter than an item, and windows of every item's size, by similarity alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(13)
+    items = [(i, prose(r, 15 + i % 45, 10**6)) for i in range(90)]
+    index = decontaminate.ItemIndex(items)
+
+    def counts(words):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        h, sizes, _ = index.hasher.sized_words(raw, np.array([0, len(raw)]))
+        return decontaminate.weighted(h, sizes)
+
+    docs, want = [], set()
+    for i, text in items:
+        w = text.split(" ")
+        mine = [w[less:] for less in (1, 2, 3)]
+        for changed in range(1, 6):
+            x = [f"y{r.randrange(10**6)}" for _ in range(changed)] + w[changed:]
+            mine.append(prose(r, 30, 10**6).split(" ") + x + prose(r, 30, 10**6).split(" "))
+        for d in mine:
+            windows = [d[k : k + len(w)] for k in range(max(1, len(d) - len(w) + 1))]
+            if any(decontaminate.similarity(counts(x), counts(w)) >= 0.8 for x in windows):
+                want.add((len(docs), i))
+            docs.append(d)
+    got = {(d, i) for d, best in index.scan(pa.array([" ".join(d) for d in docs]), 80) for i in best}
+    assert got == want and len(want) > 300
