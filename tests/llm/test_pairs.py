@@ -299,3 +299,37 @@ def test_decontamination_by_similarity():
             docs.append(d)
     got = {(d, i) for d, best in index.scan(pa.array([" ".join(d) for d in docs]), 80) for i in best}
     assert got == want and len(want) > 300
+
+
+def test_passages_agree_at_any_shift():
+    """Insertions, deletions and swapped halves, against all window pairs as multisets."""
+    from collections import Counter
+
+    import numpy as np
+
+    def tokens(words):
+        return np.array([hash(tuple(words[i : i + 5])) & 0xFFFFFFFF for i in range(len(words) - 4)], np.uint32)
+
+    r, t = random.Random(14), 46
+    for n in (50, 60, 75, 130):
+        w = prose(r, n, 10**6).split(" ")
+        mid = n // 2
+        for x, found in (
+            (w[:mid] + ["new"] + w[mid:], True),
+            (w[:mid] + w[mid + 1 :] + ["end"], True),
+            (w[mid:] + w[:mid], None),
+            (w[:mid] + prose(r, 60, 10**6).split(" ") + w[mid:], None),
+            (w[:10] * 6, None),
+        ):
+            a, b = tokens(w), tokens(x)
+            near = [
+                (i, j)
+                for i in range(len(a) - t + 1)
+                for j in range(len(b) - t + 1)
+                if 180 * (Counter(a[i : i + t].tolist()) & Counter(b[j : j + t].tolist())).total() >= 160 * t
+            ]
+            got = passages.agree(a, b, t, 80)
+            assert bool(got) == bool(near)
+            assert not found or got
+            if n == 130 and len(x) == n + 60:  # both halves, at their two shifts
+                assert {g[2] - g[0] for g in got} == {0, 60}
