@@ -333,3 +333,10 @@ def test_passages_agree_at_any_shift():
             assert not found or got
             if n == 130 and len(x) == n + 60:  # both halves, at their two shifts
                 assert {g[2] - g[0] for g in got} == {0, 60}
+
+
+def test_passages_miss_risk():
+    from math import comb
+
+    need = passages.least_matches(80, passages.HASHES, passages.RISK)
+    assert sum(comb(passages.HASHES, k) * 0.8**k * 0.2 ** (passages.HASHES - k) for k in range(need)) <= 0.002
