@@ -10,6 +10,10 @@ and script. Surnames aren't a closed list: theirs are drawn from syllables of
 their script, so two may meet; a check over the distinct surnames of all
 documents finds these, and all but the first draw again until none is shared.
 
+A person is found by a title or a listed given name with the capitalised names
+and initials that follow it; their words are then replaced wherever they stand
+capitalised in the same document. Names without either aren't found.
+
 Defined cases: null text stays null, empty text empty; texts without entities
 come back unchanged; repeated rows get the same surrogates; other columns are
 ignored; an empty table gives no rows.
@@ -58,7 +62,12 @@ _FORMS = [
 ]
 _FORM = re.compile("|".join(f"(?P<g{i}>{p})" for i, (_, p) in enumerate(_FORMS)))
 _GIVEN = "|".join(sorted((x for names in GIVEN.values() for n in names for x in (n, n.upper())), key=len, reverse=True))
-_NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?P<first>{_GIVEN})\b ?)?|(?P<given>{_GIVEN})\b )(?P<last>[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)?")
+_HEAD = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<given>{_GIVEN})\b)")
+#: What follows a title or a given name: an initial or one more name.
+_PART = re.compile(r" (?:(?P<initial>[^\W\d_])\.?(?![\w'’-])|(?P<name>[^\W\d_]{2,}(?:-[^\W\d_]+)*|[^\W\d_](?:['’][^\W\d_]{2,})))")
+_MENTION = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*|[^\W\d_]['’][^\W\d_]{2,}")
+#: The most names and initials after a title or a given name.
+PARTS = 6
 _HINT = re.compile(r"[@\d]")
 _MAY_NAME = re.compile("|".join([*TITLES, _GIVEN]))
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -229,26 +238,63 @@ def script_of(name: str) -> str:
     return "latin"
 
 
+def _full_names(text: str):
+    """(kind, start, end) of the names that a title or a listed given name begins."""
+    end = 0
+    for m in _HEAD.finditer(text):
+        if m.start() < end:
+            continue
+        run = [("name", *m.span("given"))] if m["given"] else []
+        at = m.end()
+        while len(run) < PARTS + bool(m["given"]) and (part := _PART.match(text, at)):
+            kind = part.lastgroup
+            if not part[kind][0].isupper():
+                break
+            run.append((kind, *part.span(kind)))
+            at = part.end()
+        while run and run[-1][0] == "initial":
+            run.pop()
+        if not run or (m["given"] and len(run) == 1):
+            continue  # a given name alone is too common a word
+        last = len(run) - 1
+        for i, (kind, a, b) in enumerate(run):
+            listed = text[a:b].casefold() in _SCRIPT and (i < last or (last == 0 and m["title"]))
+            yield "initial" if kind == "initial" else "given" if listed else "surname", a, b
+        end = run[-1][2]
+
+
 def entities(text: str):
-    """(kind, start, end) of the entities of a text, in order, none overlapping."""
+    """(kind, start, end) of the entities of a text, in order, none overlapping.
+
+    Names that were found whole are found again wherever one of their words
+    stands capitalised in the same text.
+    """
     found = []
     if _HINT.search(text) or "_" in text or "-" in text:
         for m in _FORM.finditer(text):
             found.append((_FORMS[int(m.lastgroup[1:])][0], m.start(), m.end()))
-    taken = {i for _, a, b in found for i in (a, b - 1)}
     if _MAY_NAME.search(text):
-        for m in _NAME.finditer(text):
-            last = m["last"] if m["last"] and m["last"][0].isupper() else None
-            if not last and not (m["title"] and m["first"]):
-                continue  # a given name alone is too common a word
-            for part, kind in (("first", "given"), ("given", "given"), ("last", "surname")):
-                if m[part] and (part != "last" or last) and m.start(part) not in taken:
-                    found.append((kind, *m.span(part)))
+        inside = bytearray(len(text))
+        for _, a, b in found:
+            inside[a:b] = b"\1" * (b - a)
+        names = [x for x in _full_names(text) if not any(inside[x[1] : x[2]])]
+        for _, a, b in names:
+            inside[a:b] = b"\1" * (b - a)
+        found += names
+        known: dict[str, str] = {}
+        for kind, a, b in names:
+            if kind != "initial":
+                known.setdefault(text[a:b].casefold(), kind)
+        if known:
+            for m in _MENTION.finditer(text):
+                kind = known.get(m[0].casefold())
+                if kind and m[0][0].isupper() and not any(inside[m.start() : m.end()]):
+                    found.append((kind, *m.span()))
     return sorted(found, key=lambda x: x[1])
 
 
 def surnames(text: str) -> set[str]:
-    return {m["last"].casefold() for m in _NAME.finditer(text) if m["last"] and m["last"][0].isupper()}
+    return {text[a:b].casefold() for kind, a, b in entities(text) if kind == "surname"} if _MAY_NAME.search(text) else set()
 
 
 def replaced(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list[str]]:
@@ -261,6 +307,8 @@ def replaced(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list
             new = s.given(old)
         elif kind == "surname":
             new = s.surname(old, draws.get(old.casefold(), 0))
+        elif kind == "initial":
+            new = s._moved("initial", old, range(1))
         else:
             new = s.form(kind, old)
         out += [text[at:a], new]

@@ -102,3 +102,19 @@ def test_pipeline_stages(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(x in r["text"] for r in last.collect() for x in items)
     assert last.count() > 0.5 * docs.count()
+
+
+def test_surrogates_of_whole_names_and_later_mentions():
+    s = surrogates.Surrogates(b"k")
+    for text, names in (
+        ("Dr William Brown said so.", ["William", "Brown"]),
+        ("John F. Kennedy met John Paul Jones. Kennedy left.", ["John", "Kennedy", "Paul", "Jones"]),
+        ("John Smith came. Later Smith and John left; Smith's hat stayed.", ["John", "Smith"]),
+        ("Mr. J. R. Hartley wrote.", ["Hartley"]),
+        ("Mary O'Neil and her cat. O'Neil slept.", ["Mary", "O'Neil"]),
+    ):
+        out, kinds = surrogates.replaced(text, s, {})
+        assert kinds and not [n for n in names if n in out], out
+    out, _ = surrogates.replaced("John Smith came. Later Smith left.", s, {})
+    assert out.split()[1] == out.split()[4]
+    assert surrogates.replaced("The smith and John went home. Mrs of", s, {})[1] == []
