@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +19,23 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, by spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine), a local folder is set.
+    Where the setting is absent, a session on one machine (local master, as in
+    tests) gets a temporary folder; on a cluster that is an error, as executors
+    would write to their own disks.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="arrayloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: The open lists of ``gathered``.
+_gathering: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables written once to the shared folder, so that later jobs read them
     rather than compute them again and a lost executor costs no lineage."""
@@ -33,6 +44,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        if _gathering:
+            _gathering[-1].append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         at = f"{self.base}/{self.n}-{name}"
@@ -42,12 +55,44 @@ class Scratch:
         back.scratch_path = at
         return back
 
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t.scratch_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all written tables but these, and let shuffles go that no plan needs."""
+        kept = {t.scratch_path.rsplit("/", 1)[1] for t in tables}
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)
+        sweep(self.spark)
+
+    def release(self) -> None:
+        """Delete all its tables; plans that read them must have run."""
+        self._delete(self.base)
+
+
+@contextmanager
+def gathered() -> Iterator[list[Scratch]]:
+    """The Scratch objects that are made meanwhile, for who knows when their tables have been read."""
+    _gathering.append([])
+    try:
+        yield _gathering[-1]
+    finally:
+        _gathering.pop()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are gone; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Bits of a membership sketch: 1 MB, at most 131072 rows when it is broadcast.

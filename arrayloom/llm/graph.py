@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import Scratch, maybe_among
+from arrayloom.llm.common import Scratch, maybe_among, sweep
 
 #: Edges of a graph that one task works on (a few MB); larger ones are dealt out.
 SMALL_GRAPH = 200_000
@@ -120,17 +120,20 @@ def link_lists(
     (cluster, x, y) whose labels differ. Both return the links (a, b).
     """
     # tables of their own, so that joins can split a long list
-    sized = scratch.save(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
-    lists = scratch.save(maybe_among(postings, "key", sized).join(sized, "key"), "posted")
-    leaders = scratch.save(lists.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
-    lists = lists.join(leaders, "key").where("node <> leader")
-    pairs = lists.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    sized = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.max("node").alias("other")).where("n > 1")
+    sized = scratch.save(sized, "sized")
+    many = sized.where("n > 2").select("key", "n", "leader")
+    lists = scratch.save(maybe_among(postings, "key", many).join(many, "key").where("node <> leader"), "posted")
+    # a list of two is its pair
+    pairs = lists.select(F.col("node").alias("a"), F.col("leader").alias("b")).union(sized.where("n = 2").select("other", "leader")).distinct()
     links = scratch.save(check(pairs).select("a", "b"), "links")
+    scratch.drop(sized)
     label = components(links, scratch, native)
-    rest = lists.where("n > 2").join(label, "node", "left").select("key", "n", "leader", "node", F.coalesce("label", "node").alias("label"))
+    rest = lists.join(label, "node", "left").select("key", "n", "leader", "node", F.coalesce("label", "node").alias("label"))
     rest = scratch.save(rest, "lists")
     opened = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rest = scratch.save(rest.join(scratch.save(opened, "open"), "key"), "rest")
+    sweep(scratch.spark)
 
     few = rest.where(F.col("n") <= SHORT).select("key", "node", "label")
     other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))

@@ -182,26 +182,28 @@ def test_lines_exact_and_fuzzy(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_lines_within_the_radius_are_all_found(spark, monkeypatch):
-    """Every pair of lines whose fingerprints and texts are near ends in one group."""
-    monkeypatch.setattr(graph, "SHORT", 4)
-    monkeypatch.setattr(graph, "BLOCK", 8)
+def test_lines_odd_columns_and_scripts(spark):
+    """Clashing names, repeated rows, ties, a null id, unspaced scripts, long lines and equal words."""
     r = random.Random(6)
-    bases = [prose(r, 80, 10**6) for _ in range(4)]
-    rows = [(i, edited(r, bases[i % 4], r.randrange(0, 3))) for i in range(80)] + [(100 + i, prose(r, 20, 50)) for i in range(60)]
-    df = frame(spark, rows)
-    body = df.select("doc_id", F.col("doc_id").alias("row"), "text")
-    prints = {x["doc_id"]: (x["h"], x["sim"]) for x in lines.fingerprints(lines.split_lines(body, 5)).collect()}
-    u = Union(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            (ha, sa), (hb, sb) = prints[rows[a][0]], prints[rows[b][0]]
-            if bin(sa ^ sb).count("1") <= lines.RADIUS and (ha == hb or near_texts(rows[a][1], rows[b][1])):
-                u.join(a, b)
-    kept = {rows[a][0] for a in range(len(rows)) if u.find(a) == a}
-    out = lines.dedup_lines(df).collect()
-    assert {x["doc_id"] for x in out if x["__n_gone"] == 0} == kept
-    assert len(kept) < len(rows)
+    long = prose(r, 4000, 10**6)
+    rows = [
+        (3, "东京是日本的首都人口众多\n短"),
+        (4, "东京是日本的首都人口众多。\n短"),
+        (5, long),
+        (6, long.replace("w1", "v1", 3)),
+        (7, prose(r, 4000, 10**6)),
+        (None, "the first place of this line is here"),
+        (8, "The FIRST place, of this line is here."),
+        (8, "The FIRST place, of this line is here."),
+        (9, "same same same same same same"),
+        (10, "same same same same same same"),
+    ]
+    df = spark.createDataFrame([(i, t, "k", 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, row string, gone int, d int, __n_lines int, h int")
+    out = lines.dedup_lines(df)
+    assert set(out.columns) == set(df.columns) | {"__n_gone"}
+    got = sorted((x["doc_id"] or 0, x["text"], x["__n_lines"], x["__n_gone"]) for x in out.collect())
+    assert [(i, n, g) for i, _, n, g in got] == [(0, 1, 0), (3, 2, 0), (4, 2, 1), (5, 1, 0), (6, 1, 1), (7, 1, 0), (8, 1, 1), (8, 1, 1), (9, 1, 0), (10, 1, 1)]
+    assert got[2][1] == "短" and got[7][1] == ""
 
 
 def near_texts(a, b):
