@@ -12,12 +12,16 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once under spark.checkpoint.dir and read from there.
 
     What follows reads files, so it costs nothing to compute again and a lost
-    executor takes nothing with it. Where the setting is absent, as in tests, a
-    local folder is set.
+    executor takes nothing with it. Where the setting is absent, a session on
+    one machine (local master, as in tests) gets a temporary folder; on a
+    cluster that is an error.
     """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="arrayloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
