@@ -98,6 +98,7 @@ def link_lists(
     scratch: Scratch,
     merge: bool = True,
     native: bool = False,
+    spare: bool = False,
 ) -> DataFrame:
     """node, label of the components of the links between members of a list.
 
@@ -105,7 +106,9 @@ def link_lists(
     bytes that a node's comparison holds. Any two nodes that share a list are
     checked or already in one component, and no list gives all its pairs:
 
-    1. Every member is checked against the list's leader, its least node.
+    1. Every member is checked against the list's leader, its least node. With
+       ``spare`` a node is first checked against the least of its leaders, and then
+       only against those outside its component.
     2. Members of one component are skipped from then on, and so are lists
        whose members, but for the leader, are of one component.
     3. Lists of at most SHORT members give their pairs between components.
@@ -126,7 +129,16 @@ def link_lists(
     lists = scratch.save(maybe_among(postings, "key", many).join(many, "key").where("node <> leader"), "posted")
     # a list of two is its pair
     pairs = lists.select(F.col("node").alias("a"), F.col("leader").alias("b")).union(sized.where("n = 2").select("other", "leader")).distinct()
-    links = scratch.save(check(pairs).select("a", "b"), "links")
+    if spare:
+        pairs = scratch.save(pairs, "led")
+        links = scratch.save(check(pairs.groupBy("a").agg(F.min("b").alias("b"))).select("a", "b"), "links")
+        label = components(links, scratch, native)
+        apart = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+        apart = apart.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        pairs = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        links = links.union(scratch.save(check(pairs).select("a", "b"), "links"))
+    else:
+        links = scratch.save(check(pairs).select("a", "b"), "links")
     scratch.drop(sized)
     label = components(links, scratch, native)
     rest = lists.join(label, "node", "left").select("key", "n", "leader", "node", F.coalesce("label", "node").alias("label"))
