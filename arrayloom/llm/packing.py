@@ -6,10 +6,14 @@ sum of squared counts of partially filled windows smallest (the rule of
 Csirik, Johnson, Kenyon et al.). Levels are one integer array, so a placement
 is a few vector operations, whatever the number of windows.
 
+At most ``MAX_OPEN`` windows are open. Where the rule asks for one more, and the
+rest of a document fits into none, the document is cut: its next ids close
+an open window, of those whose closing leaves the smallest sum the fullest, and
+what remains is placed by the rule again. So placement itself closes windows.
+
 Each task packs its own input rows and nothing is shuffled. When a task ends,
-or holds more open windows than a fixed bound, the open windows are laid end to
-end and cut anew; the last, short window of a task is cut into power-of-two
-windows, which need no padding.
+the emptiest of the few windows still open fill up the fullest, and what is left
+is cut into power-of-two windows, which need no padding.
 
 Defined cases: a null or empty text is the closing id alone; a null doc_id
 stays null; repeated rows are packed once for each row; other columns are
@@ -33,8 +37,8 @@ SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, "
     "doc_tokens bigint, sequence_id bigint, offset bigint"
 )
-#: Open windows that a task holds before it lays them end to end (8 KB each).
-MAX_OPEN = 4096
+#: Open windows of a task. More of them cut fewer documents, but leave more windows to the task's last step.
+MAX_OPEN = 8
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts go to the slower library, whose time doesn't hang on their form.
@@ -122,59 +126,77 @@ class SumOfSquaresPacker:
         cost[~usable] = np.iinfo(np.int64).max
         return c - n - int(np.argmin(cost[::-1]))  # of equals the fullest
 
+    def _take(self, level: int) -> list:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _level_under_bound(self, n: int) -> int | None:
+        """As level_for, but without a new window; none if n ids fit nowhere."""
+        usable = [h for h, w in self.open.items() if w and h + n <= self.c]
+        if not usable:
+            return None
+
+        def after(h: int) -> int:
+            return (0 if h + n == self.c else 2 * int(self.levels[h + n]) + 1) - 2 * int(self.levels[h]) + 1
+
+        return min(usable, key=lambda h: (after(h), -h))
+
     def add(self, doc, ids: bytes) -> None:
         c, total = self.c, len(ids) // 4
-        whole = total // c * c
-        for start in range(0, whole, c):
-            self._close([(doc, start, ids[4 * start : 4 * (start + c)], total)])
-        n = total - whole
-        if not n:
-            return
-        at = self.level_for(n)
-        window = []
-        if at:
-            window = self.open[at].pop()
-            self.levels[at] -= 1
-            self.n_open -= 1
-        window.append((doc, whole, ids[4 * whole :], total))
-        if at + n == c:
-            self._close(window)
-            return
-        self.open.setdefault(at + n, []).append(window)
-        self.levels[at + n] += 1
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            self.flush()
-
-    def flush(self, last: bool = False) -> None:
-        """Lay the open windows end to end and cut them into full ones.
-
-        What is left over stays open, or is cut into powers of two at the end.
-        """
-        pieces = deque(p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w)
+        start = total // c * c
+        for at in range(0, start, c):
+            self._close([(doc, at, ids[4 * at : 4 * (at + c)], total)])
+        while start < total:
+            n = total - start
+            at = self.level_for(n)
+            if not at and self.n_open >= self.max_open:
+                at = self._level_under_bound(n)
+            if at is None:  # cut: the next ids close a window
+                at = max((h for h, w in self.open.items() if w), key=lambda h: (self.levels[h], h))
+                n = c - at
+            window = self._take(at) if at else []
+            window.append((doc, start, ids[4 * start : 4 * (start + n)], total))
+            start += n
+            if at + n == c:
+                self._close(window)
+                continue
+            self.open.setdefault(at + n, []).append(window)
+            self.levels[at + n] += 1
+            self.n_open += 1
+
+    def flush(self) -> None:
+        """Close all windows: the ids of the emptiest fill up the fullest, and the last is cut into powers of two."""
+        left = deque(w for h in sorted(self.open, reverse=True) for w in self.open[h])
         self.open, self.n_open = {}, 0
         self.levels[:] = 0
-        left = sum(len(ids) for _, _, ids, _ in pieces) // 4
-        sizes = [self.c] * (left // self.c)
-        left %= self.c
-        if last:
-            sizes += [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
-        window, room = [], 0
-        for size in sizes:
-            room = size
-            while room:
-                doc, start, ids, total = pieces.popleft()
-                n = len(ids) // 4
-                take = min(n, room)
+        loose: deque[tuple] = deque()  # the pieces of the window that is being taken apart
+
+        def move(window: list, room: int) -> int:
+            """Up to ``room`` ids from the loose pieces; what is still missing."""
+            while room and loose:
+                doc, start, ids, total = loose.popleft()
+                take = min(len(ids) // 4, room)
                 window.append((doc, start, ids[: 4 * take], total))
-                if take < n:
-                    pieces.appendleft((doc, start + take, ids[4 * take :], total))
+                if 4 * take < len(ids):
+                    loose.appendleft((doc, start + take, ids[4 * take :], total))
                 room -= take
-            self._close(window)
+            return room
+
+        while left:
+            window = left.popleft()
+            room = self.c - sum(len(p[2]) // 4 for p in window)
+            while (room := move(window, room)) and left:
+                loose.extend(left.pop())
+            if room:
+                loose = deque(window)
+            else:
+                self._close(window)
+        rest = sum(len(p[2]) // 4 for p in loose)
+        for size in (1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1):
             window = []
-        if left and not last:
-            self.open[left] = [list(pieces)]
-            self.levels[left] = self.n_open = 1
+            move(window, size)
+            self._close(window)
 
 
 def pack(
@@ -211,7 +233,7 @@ def pack(
                 packer.add(doc, encoder.encode(text.as_py() or "") + end)
                 if len(packer.rows) >= 10_000:
                     yield out()
-        packer.flush(last=True)
+        packer.flush()
         yield out()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

@@ -94,11 +94,42 @@ def test_packer_places_by_sum_of_squares():
     few = packing.SumOfSquaresPacker(10, 0, max_open=5)
     for k in range(50):
         few.add(k, b"\1\0\0\0" * 6)
-    assert few.n_open <= 6
-    few.flush(last=True)
+    assert few.n_open <= 5
+    few.flush()
     assert sum(r[2] for r in few.rows) == 300
 
 
+def test_packer_leaves_few_windows_to_the_last_step():
+    import random
+
+    for n_docs in (1000, 4000):
+        r, p = random.Random(n_docs), packing.SumOfSquaresPacker(2048, 0)
+        for k in range(n_docs):
+            p.add(k, b"\1\0\0\0" * min(int(r.lognormvariate(5.5, 1.2)) + 1, 20_000))
+        placed = p.next_id
+        p.flush()
+        assert p.next_id - placed < 0.05 * p.next_id
+        of = defaultdict(list)
+        for x in p.rows:
+            of[x[5]].append((x[6], x[2]))
+        filled = [sum(n for _, n in w) for w in of.values()]
+        assert all(n == 2048 or n & (n - 1) == 0 for n in filled)
+        for w in of.values():
+            at = 0
+            for offset, n in sorted(w):
+                assert offset == at
+                at += n
+
+
+def test_both_tokenizers_give_the_same_ids(monkeypatch):
+    """Whichever library a text goes to, by its length."""
+    texts = [t or "" for t in TEXTS] + ["word " * 3000, "\n\n  \t x" * 500, "é日本語 абв " * 400, "a" * 5000, "1234567890" * 300]
+    e = packing.TextEncoder()
+    fast = [e.encode(t) for t in texts]
+    monkeypatch.setattr(packing, "FAST_CHARS", -1)
+    assert e.fast is not None and [e.encode(t) for t in texts] == fast
+
+
 def turns_of(rows):
     by = defaultdict(list)
     for c, t, r, x in rows:
