@@ -202,12 +202,11 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
 def keep_good(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.
 
-    Texts are read twice, for the fit and for the verdict, so that rows need
-    no key. The verdict passes through a generator, below which the optimizer
-    doesn't move the filter; else it would repeat the counting in it.
+    Rows and their counts are written once to the shared folder, as one column
+    beside the counts, so that nothing is counted twice, rows need no key and no
+    column of theirs can clash.
     """
-    counted = features(docs.select(F.col(text_column).alias("text"))).drop("text")
-    model = fit_votes(Scratch(docs.sparkSession, "quality").save(counted, "counts"))
-    tagged = docs.select(F.struct("*").alias("__row"), F.col(text_column).alias("text"))
-    verdict = judged(features(tagged), model).select("__row", F.explode(F.array("kept")).alias("__kept"))
-    return verdict.where("__kept").select("__row.*")
+    tagged = docs.select(F.struct("*").alias("row"), F.col(f"`{text_column}`").alias("text"))
+    counted = Scratch(docs.sparkSession, "quality").save(features(tagged).drop("text"), "counted")
+    kept = judged(counted, fit_votes(counted)).where("kept")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
