@@ -8,6 +8,8 @@ values that are posted. A value that one set alone holds costs no posting.
 Lists are linked by leaders (``graph.link_lists``), members of one component
 skipped; the collisions of a pair are counted over whole signatures, and what
 is above the threshold is confirmed on the full sets, made anew from the texts.
+Equal sets are one node by 128 bits of their name: of two sets that agree in the
+first 64 only, one is left alone.
 
 Defined cases: a text without words, or null, is linked with nothing; a text
 with fewer words than a shingle is one shingle as a whole; equal sets are one
@@ -43,12 +45,14 @@ def least_matches(percent: int, k: int = COORDINATES, risk: float = 1e-10) -> in
     return k
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit name of a set; 0 is kept for none."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set; the first is never 0 but for no members."""
     if not len(s):
-        return 0
+        return 0, 0
     x = int(s.sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(s)) * 0x9E3779B97F4A7C15 ^ len(s)
-    return int(as_long(mix(np.array([x & (1 << 64) - 1], np.uint64)))[0]) or 1
+    y = int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+    one, two = as_long(mix(np.array([x & (1 << 64) - 1, y], np.uint64))).tolist()
+    return one or 1, two
 
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -67,8 +71,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), key (of the set; null if empty) and signature."""
-    schema = "doc_id bigint, n bigint, key bigint, signature array<bigint>"
+    """doc_id, n (set size), key and key2 (of the set; null if empty) and signature."""
+    schema = "doc_id bigint, n bigint, key bigint, key2 bigint, signature array<bigint>"
+
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
@@ -79,14 +84,14 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sets = distinct(s, at)
                 some = np.array([len(x) > 0 for x in sets], dtype=bool)
                 n = np.array([len(x) for x in sets], np.int64)
-                keys = np.array([set_key(x) for x in sets], np.int64)
+                keys = np.array([set_key(x) for x in sets], np.int64).reshape(-1, 2)
                 sign = signatures([x for x in sets if len(x)])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(some) * COORDINATES]).astype(np.int32)), pa.array(as_long(sign.reshape(-1)))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(keys, mask=~some), lists],
-                    names=["doc_id", "n", "key", "signature"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(keys[:, i], mask=~some) for i in (0, 1)), lists],
+                    names=["doc_id", "n", "key", "key2", "signature"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -184,8 +189,9 @@ def near_duplicates(
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketched = scratch.save(sketches(rows, shingle), "sketches")
     of_node = sketched.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min(F.struct("doc_id", "signature")).signature.alias("signature")
+        F.min(F.struct("key2", "doc_id", "n", "signature")).alias("first")
     )
+    of_node = of_node.select("key", "first.key2", F.col("first.doc_id").alias("least"), "first.n", "first.signature")
     nodes = scratch.save(of_node, "nodes")
     least = least_matches(percent)
     prefix = COORDINATES - least + 1
@@ -218,14 +224,16 @@ def near_duplicates(
         check,
         lambda blocks: confirm_blocks(blocks, texts, shingle, percent),
         scratch,
+        spare=True,
     )
     member = nodes.join(label.select(F.col("node").alias("key"), "label"), "key", "left").select(
-        "key", "least", F.coalesce("label", "key").alias("label")
+        "key", "key2", "least", F.coalesce("label", "key").alias("label")
     )
     member = scratch.save(member, "members")
     lowest = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = scratch.save(member.join(lowest, "label").select("key", "component_id"), "classes")
-    out = sketched.select("doc_id", "n", "key").join(classes, "key", "left")
+    classes = scratch.save(member.join(lowest, "label").select("key", "key2", "component_id"), "classes")
+    scratch.keep_only(sketched, classes)
+    out = sketched.select("doc_id", "n", "key", "key2").join(classes, ["key", "key2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id",
@@ -245,7 +253,7 @@ def sketches_keys(docs: DataFrame, k: int) -> DataFrame:
             keys = []
             for lo, hi in chunks(offsets):
                 h, at = hasher.words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                keys += [set_key(x) for x in distinct(*shingles(h, at, k))]
+                keys += [set_key(x)[0] for x in distinct(*shingles(h, at, k))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["doc_id", "text", "key"])
 
     return docs.mapInArrow(run, "doc_id bigint, text string, key bigint")
