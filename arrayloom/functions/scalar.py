@@ -185,10 +185,14 @@ def logb(x) -> Column:
 
 
 def frexp(x) -> Column:
-    """struct(mantissa in [0.5, 1), exponent)."""
+    """struct(mantissa in [0.5, 1), exponent); zeros, NaN and infinities have exponent 0."""
     x = _c(x).cast("double")
-    e = F.when(x == 0, F.lit(0).cast("long")).otherwise(ilogb(x) + 1)
-    return F.struct((x * F.pow(F.lit(2.0), -e)).alias("mantissa"), e.alias("exponent"))
+    tiny = F.abs(x) < 2.2250738585072014e-308  # scaled up, as the power of two below would overflow
+    y = F.when(tiny, x * 2.0**54).otherwise(x)
+    odd = (x == 0) | ~isfinite(x)
+    e = F.when(odd, F.lit(0).cast("long")).otherwise(ilogb(y) + 1)
+    mantissa = F.when(odd, x).otherwise(y * F.pow(F.lit(2.0), -e))
+    return F.struct(mantissa.alias("mantissa"), F.when(tiny & ~odd, e - 54).otherwise(e).alias("exponent"))
 
 
 def ldexp(x, n) -> Column:
@@ -281,8 +285,22 @@ def _over_pi(f: Callable) -> Callable:
     return lambda *x: f(*x) / math.pi
 
 
-def _times_pi(f: Callable) -> Callable:
-    return lambda x: f(_c(x) * math.pi)
+def sinpi(x) -> Column:
+    """sin(pi x), with the argument reduced first: exact at whole and half numbers."""
+    x = _c(x).cast("double")
+    r = x - 2 * floor((x + 1) / 2)  # in [-1, 1)
+    r = F.when(F.abs(r) > 0.5, F.signum(r) * (1 - F.abs(r))).otherwise(r)
+    return F.sin(r * math.pi)
+
+
+def cospi(x) -> Column:
+    x = _c(x).cast("double")
+    r = x - 2 * floor(x / 2)  # in [0, 2)
+    return -F.sin((0.5 - F.abs(r - 1)) * math.pi)
+
+
+def tanpi(x) -> Column:
+    return fdiv(sinpi(x), cospi(x))
 
 
 # integers of a given width
@@ -296,13 +314,20 @@ def _wide(x, bits: int) -> Column:
     return _c(x).cast("decimal(38,0)" if bits > 32 else "long")
 
 
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def _saturated(x: Column, bits: int, signed: bool) -> Column:
     lo, hi = _limits(bits, signed)
-    x = F.least(F.greatest(x, F.lit(lo).cast("decimal(38,0)" if bits > 32 else "long")), F.lit(hi).cast("decimal(38,0)" if bits > 32 else "long"))
-    return x if bits > 32 and not signed else x.cast("long")
+    if bits <= 32:
+        return F.least(F.greatest(x, F.lit(lo).cast("long")), F.lit(hi).cast("long"))
+    x = F.least(F.greatest(x, _whole(lo)), _whole(hi))
+    return x.cast("long" if signed else "decimal(20,0)")
 
 
 def add_sat(a, b, bits: int = 32, signed: bool = True) -> Column:
+    """a + b inside the type; unsigned 64-bit numbers are decimals."""
     return _saturated(_wide(a, bits) + _wide(b, bits), bits, signed)
 
 
@@ -311,13 +336,21 @@ def sub_sat(a, b, bits: int = 32, signed: bool = True) -> Column:
 
 
 def mad_sat(a, b, c, bits: int = 32, signed: bool = True) -> Column:
-    product = _c(a).cast("decimal(19,0)") * _c(b).cast("decimal(19,0)") + _c(c).cast("decimal(19,0)")
+    a, b, c = (_c(x).cast("decimal(20,0)") for x in (a, b, c))
     lo, hi = _limits(bits, signed)
-    return F.least(F.greatest(product, F.lit(lo)), F.lit(hi)).cast("long")
+    # a product beyond 38 digits is beyond any type
+    far = F.when((a < 0) == (b < 0), _whole(hi)).otherwise(_whole(lo))
+    sum_ = _fn("try_add", _fn("try_multiply", a, b), c).cast("decimal(38,0)")
+    given = a.isNotNull() & b.isNotNull() & c.isNotNull()
+    out = F.least(F.greatest(F.coalesce(sum_, far), _whole(lo)), _whole(hi)).cast("long" if signed or bits <= 32 else "decimal(20,0)")
+    return F.when(given, out)
 
 
-def abs_diff(a, b) -> Column:
-    return F.abs(_c(a).cast("long") - _c(b).cast("long"))
+def abs_diff(a, b, bits: int = 32) -> Column:
+    """|a - b|, of 64-bit numbers as a decimal."""
+    if bits <= 32:
+        return F.abs(_c(a).cast("long") - _c(b).cast("long"))
+    return F.abs(_c(a).cast("decimal(20,0)") - _c(b).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def hadd(a, b) -> Column:
@@ -341,24 +374,43 @@ def mad24(a, b, c) -> Column:
     return mul24(a, b) + _c(c).cast("long")
 
 
-def mul_hi(a, b) -> Column:
-    """The upper 32 bits of the product of two 32-bit unsigned numbers, held as bigints.
+def _halves(x: Column, half: Column) -> tuple[Column, Column]:
+    """floor(x / half) and the rest, of whole decimals."""
+    low = F.pmod(x, half).cast("decimal(38,0)")
+    return _fn("div", x - low, half).cast("decimal(20,0)"), low.cast("decimal(20,0)")
 
-    By halves of 16 bits, so that nothing exceeds 2 ** 49.
-    """
-    a, b = _c(a).cast("long"), _c(b).cast("long")
-    a0, a1 = a.bitwiseAND(_mask(16)), shr_unsigned(a, 16)
-    low = a0 * b
-    return shr_unsigned(a1 * b + shr_unsigned(low, 16), 16)
 
+def mul_hi(a, b, bits: int = 32, signed: bool = False) -> Column:
+    """The upper half of the product of two numbers of so many bits (32 or 64).
 
-def mad_hi(a, b, c) -> Column:
-    return mul_hi(a, b) + _c(c).cast("long")
+    Unsigned 32-bit numbers are held as bigints, and are multiplied by halves of
+    16 bits, so that nothing exceeds 2 ** 49; unsigned 64-bit ones are decimals.
+    """
+    if bits == 32:
+        a, b = _c(a).cast("long"), _c(b).cast("long")
+        if signed:
+            return shr(a * b, 32)
+        a, b = a.bitwiseAND(_mask(32)), b.bitwiseAND(_mask(32))
+        a0, a1 = a.bitwiseAND(_mask(16)), shr_unsigned(a, 16)
+        low = a0 * b
+        return shr_unsigned(a1 * b + shr_unsigned(low, 16), 16)
+    half = _whole(1 << 32)
+    (a1, a0), (b1, b0) = (_halves(_c(x).cast("decimal(20,0)"), half) for x in (a, b))
+    carry, _ = _halves((a0 * b0).cast("decimal(38,0)"), half)
+    middle, _ = _halves((a1 * b0 + a0 * b1 + carry).cast("decimal(38,0)"), half)
+    return ((a1 * b1).cast("decimal(38,0)") + middle).cast("long" if signed else "decimal(20,0)")
+
+
+def mad_hi(a, b, c, bits: int = 32, signed: bool = False) -> Column:
+    c = _c(c).cast("long" if bits == 32 or signed else "decimal(20,0)")
+    return mul_hi(a, b, bits, signed) + c
 
 
 def clz(x, bits: int = 32) -> Column:
-    """Leading zeros of a non-negative number held in so many bits."""
-    return F.when(_c(x) == 0, F.lit(bits)).otherwise(F.lit(bits) - F.length(F.bin(_c(x).cast("long"))))
+    """Leading zeros of a number in so many bits, negative ones by two's complement."""
+    x = _c(x).cast("long")
+    x = x if bits == 64 else x.bitwiseAND(_mask(bits))
+    return F.when(x == 0, F.lit(bits)).otherwise(F.lit(bits) - F.length(F.bin(x)))
 
 
 def popcount(x) -> Column:
@@ -377,7 +429,7 @@ def rotate(x, n: int, bits: int = 32) -> Column:
 
 
 def upsample(hi, lo, bits: int = 32) -> Column:
-    return shl(_c(hi).cast("long"), bits).bitwiseOR(_c(lo).cast("long"))
+    return shl(_c(hi).cast("long"), bits).bitwiseOR(_c(lo).cast("long").bitwiseAND(_mask(bits)))
 
 
 #: name -> function of columns. The special functions that Spark lacks are in
@@ -386,7 +438,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "abs_diff": abs_diff, "acos": F.acos, "acosh": F.acosh, "acospi": _over_pi(F.acos), "add_sat": add_sat,
     "asin": F.asin, "asinh": F.asinh, "asinpi": _over_pi(F.asin), "atan": F.atan, "atan2": F.atan2, "atan2pi": _over_pi(F.atan2),
     "atanh": F.atanh, "atanpi": _over_pi(F.atan), "bitselect": bitselect, "cbrt": F.cbrt, "ceil": ceil, "clamp": clamp, "clz": clz,
-    "copysign": copysign, "cos": F.cos, "cosh": F.cosh, "cospi": _times_pi(F.cos), "degrees": F.degrees, "exp": F.exp,
+    "copysign": copysign, "cos": F.cos, "cosh": F.cosh, "cospi": cospi, "degrees": F.degrees, "exp": F.exp,
     "exp10": lambda x: F.pow(F.lit(10.0), _c(x)), "exp2": lambda x: F.pow(F.lit(2.0), _c(x)), "expm1": F.expm1, "fabs": F.abs,
     "fdim": fdim, "floor": floor, "fma": fma, "fmax": fmax, "fmin": fmin, "fmod": mod, "fract": fract, "frexp": frexp, "hadd": hadd,
     "hypot": F.hypot, "ilogb": ilogb, "isequal": isequal, "isfinite": isfinite, "isgreater": isgreater,
@@ -397,6 +449,6 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "mul24": mul24, "mul_hi": mul_hi, "nan": nan, "__popc": popcount, "__popcll": popcount, "popcount": popcount, "pow": F.pow,
     "pown": F.pow, "powr": F.pow, "radians": F.radians, "remainder": remainder, "remquo": remquo, "rhadd": rhadd, "rint": rint,
     "rootn": rootn, "rotate": rotate, "round": round_, "rsqrt": rsqrt, "select": select, "sign": F.signum, "signbit": signbit,
-    "sin": F.sin, "sincos": sincos, "sinh": F.sinh, "sinpi": _times_pi(F.sin), "smoothstep": smoothstep, "sqrt": F.sqrt, "step": step,
-    "sub_sat": sub_sat, "tan": F.tan, "tanh": F.tanh, "tanpi": _times_pi(F.tan), "trunc": trunc, "upsample": upsample,
+    "sin": F.sin, "sincos": sincos, "sinh": F.sinh, "sinpi": sinpi, "smoothstep": smoothstep, "sqrt": F.sqrt, "step": step,
+    "sub_sat": sub_sat, "tan": F.tan, "tanh": F.tanh, "tanpi": tanpi, "trunc": trunc, "upsample": upsample,
 }

@@ -30,6 +30,7 @@ def query(oracle: str | None = None, name: str | None = None):
 def _load() -> None:
     from arrayloom.plans import (  # noqa: F401
         q_elementwise,
+        q_functions,
         q_linalg,
         q_reduce,
         q_transforms,
