@@ -7,22 +7,25 @@ files into read partitions, and each partition is written as one file, so no
 row is shuffled. A version becomes visible by creating its manifest under a
 name that mustn't exist yet, which the file system does atomically; of two
 writers one fails and repeats on top of the other's version. Files are never
-changed, so a reader of a version is not disturbed, and a job that dies leaves
-only files that no manifest names.
+changed, and ``vacuum`` takes away only what no kept version names and what is
+older than a time of grace, so a reader of a version is not disturbed; what a job
+that died has left goes the same way.
 
 Defined cases: an empty arrival adds a version without files; null values,
-repeated rows and all columns are stored as they are; the first arrival sets
-the columns, and another one must have them too.
+repeated rows and all columns are stored as they are, whatever their names; the
+first arrival sets the columns, and another one must have them too.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from math import floor, log
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -102,32 +105,52 @@ class ShardStore:
 
     # data
 
+    def _shards(self, folder: str, born: int) -> list[Shard]:
+        """The files with rows of a folder that has been written."""
+        at = self._path(f"{self.root}/{folder}")
+        listed = self._fs.listStatus(at) if self._fs.exists(at) else []
+        sizes = {s.getPath().getName(): s.getLen() for s in listed if s.getPath().getName().endswith(".parquet")}
+        if not sizes:
+            return []
+        # no column is read; input_file_name() can't clash with one
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        rows = dict(self.spark.read.parquet(f"{self.root}/{folder}").select(name.alias("f")).groupBy("f").count().collect())  # one row a file of this write
+        return [Shard(f"{folder}/{n}", rows[n], b, born) for n, b in sorted(sizes.items()) if rows.get(n)]
+
     def _write(self, df: DataFrame, born: int) -> list[Shard]:
         folder = f"data/{born:010d}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        sizes = {
-            s.getPath().getName(): s.getLen()
-            for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))
-            if s.getPath().getName().endswith(".parquet")
-        }
-        at = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
-        rows = dict(at.groupBy(F.col("_metadata.file_name").alias("f")).count().collect())  # one row a file of this write
-        return [Shard(f"{folder}/{n}", rows[n], b, born) for n, b in sorted(sizes.items()) if rows.get(n)]
+        return self._shards(folder, born)
 
-    def append(self, df: DataFrame) -> Manifest:
-        written = None
+    def _next(self, schema: str, written: list[Shard]) -> Manifest:
+        """Commit a version with these files more, on top of whatever is the latest."""
         while True:
             m = self.manifest()
-            if m.schema is not None:
-                df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in StructType.fromJson(json.loads(m.schema))])
-            written = written if written is not None else self._write(df, m.version + 1)
+            new = Manifest(m.version + 1, m.schema or schema, m.shards + tuple(written))
             try:
-                new = Manifest(m.version + 1, m.schema or df.schema.json(), m.shards + tuple(written))
                 self.commit(new)
                 return new
             except Conflict:
                 continue
 
+    def arrive(self, df: DataFrame, part: Column, n: int) -> list[Callable[[], Manifest]]:
+        """Write n arrivals in one pass over ``df``, dealt by ``part`` (0 .. n - 1); each is committed when called."""
+        m = self.manifest()
+        df = self._fitted(df, m)
+        folder, name = f"data/{m.version + 1:010d}-{uuid.uuid4().hex}", f"part-{uuid.uuid4().hex}"
+        df.select(*[F.col(f"`{c}`") for c in df.columns], part.alias(name)).write.option("compression", "zstd").partitionBy(name).parquet(f"{self.root}/{folder}")
+        return [lambda k=k: self._next(df.schema.json(), self._shards(f"{folder}/{name}={k}", self.manifest().version + 1)) for k in range(n)]
+
+    def _fitted(self, df: DataFrame, m: Manifest) -> DataFrame:
+        if m.schema is None:
+            return df
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in StructType.fromJson(json.loads(m.schema))])
+
+    def append(self, df: DataFrame) -> Manifest:
+        m = self.manifest()
+        df = self._fitted(df, m)
+        return self._next(df.schema.json(), self._write(df, m.version + 1))
+
     def tier(self, s: Shard) -> int:
         return max(0, floor(log(max(s.n_bytes, 1) / self.base, self.fan_in)) + 1) if s.n_bytes >= self.base else 0
 
@@ -163,16 +186,33 @@ class ShardStore:
                     continue
         return self.manifest()
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the files that none of the last versions names; their number."""
+    def vacuum(self, keep_versions: int = 1, grace_seconds: float = 7 * 24 * 3600) -> int:
+        """Delete old versions, and files that no kept version names; the number of files.
+
+        A version is kept while it is one of the last ``keep_versions`` or was the
+        latest within the time of grace, as readers may have begun on it; a file
+        stays for that time after it was written, as its commit may be under way.
+        """
+        now = time.time() * 1000
+        made = {s.getPath().getName(): s.getModificationTime() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))}
         known = self.versions()
-        kept = {s.path for v in known[-keep_versions:] for s in self.manifest(v).shards}
-        old = {s.path for v in known[:-keep_versions] for s in self.manifest(v).shards} - kept
+        replaced = {v: made[f"v{w:010d}.json"] for v, w in zip(known, known[1:], strict=False)}
+        kept = [v for v in known if v in known[-keep_versions:] or now - replaced[v] < 1000 * grace_seconds]
+        named = {s.path for v in kept for s in self.manifest(v).shards}
+        gone, data = 0, self._path(f"{self.root}/data")
+        files = self._fs.listFiles(data, True) if self._fs.exists(data) else None
+        old = []
+        while files is not None and files.hasNext():
+            f = files.next()
+            path = f.getPath().toString().rsplit(f"{self.root.rsplit('/', 1)[1]}/data/", 1)[1]
+            if f"data/{path}" not in named and now - f.getModificationTime() >= 1000 * grace_seconds:
+                old.append(f.getPath())
         for p in old:
-            self._fs.delete(self._path(f"{self.root}/{p}"), False)
-        for v in known[:-keep_versions]:
+            gone += p.getName().endswith(".parquet")
+            self._fs.delete(p, False)
+        for v in set(known) - set(kept):
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:010d}.json"), False)
-        return len(old)
+        return gone
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -184,19 +224,14 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in m.shards])
 
 
-def arrivals(docs: DataFrame, n: int, id_column: str = "doc_id") -> list[DataFrame]:
-    """``docs`` dealt into n arrivals by a hash of the id."""
-    part = F.pmod(F.xxhash64(F.col(id_column)), F.lit(n))
-    return [docs.where(part == k) for k in range(n)]
-
+def ingest(docs: DataFrame, store: ShardStore, n_arrivals: int = 8, id_column: str = "doc_id") -> Manifest:
+    """Append arrival by arrival (dealt by a hash of the id), compacting whenever a run is full.
 
-def ingest(docs: DataFrame, store: ShardStore, n_arrivals: int = 8) -> Manifest:
-    """Append arrival by arrival, compacting whenever a run is full."""
-    for k, a in enumerate(arrivals(docs, n_arrivals)):
-        store.append(a)
+    ``docs`` is read once. Old versions stay readable until ``vacuum``.
+    """
+    part = F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(n_arrivals))
+    for k, commit in enumerate(store.arrive(docs, part, n_arrivals)):
+        commit()
         if (k + 1) % store.fan_in == 0:
             store.compact()
-            store.vacuum()
-    store.compact()
-    store.vacuum()
-    return store.manifest()
+    return store.compact()

@@ -86,6 +86,23 @@ def test_store_commits_compacts_and_reads(spark):
     assert store.read().count() == len(want) + 3
 
 
+def test_store_vacuum_leaves_what_readers_may_need(spark):
+    store = shards.ShardStore(spark, Scratch(spark, "store").base, target_bytes=1 << 20, base_bytes=1 << 10)
+    rows = [(i, f"t{i % 7}", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, _metadata string, `part-0` int")
+    shards.ingest(docs, store, 4)
+    first = store.versions()[0]
+    n_first = store.read(first).count()
+    assert 0 < n_first < 200
+    orphan = spark.createDataFrame([(1, "x", 2)], docs.schema)
+    orphan.write.parquet(f"{store.root}/data/0000000099-died")
+    assert store.vacuum() == 0 and store.read(first).count() == n_first  # within the time of grace
+    assert store.vacuum(grace_seconds=-1) > 0
+    assert len(store.versions()) == 1
+    assert sorted(map(tuple, store.read().collect())) == sorted(rows)
+    assert store.vacuum(grace_seconds=-1) == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
