@@ -11,7 +11,7 @@ from arrayloom.sources.tables import table
 
 def op1_keyed_surrogates(spark, d):
     """All documents with surrogates for personal data and secrets."""
-    return surrogates.replace_entities(table(spark, d, "documents"))
+    return surrogates.replace_entities(table(spark, d, "documents"), key=b"a key for the synthetic tables")
 
 
 def op2_compact_windows(spark, d):

@@ -1,18 +1,21 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Values with a format (e-mail, phone, IPv4, IBAN, social security, card and
-account numbers, secrets) are moved by a keyed permutation of all values of
-their format: a Feistel network over the characters' mixed-radix number that
-walks on until the result has the same shape (Luhn, IBAN check, address class,
-leading zeros). A permutation can't make two values one, and one value has one
-surrogate everywhere. First names are permuted inside the list of their gender
-and script. Surnames aren't a closed list: theirs are drawn from syllables of
-their script, so two may meet; a check over the distinct surnames of all
-documents finds these, and all but the first draw again until none is shared.
-
-A person is found by a title or a listed given name with the capitalised names
-and initials that follow it; their words are then replaced wherever they stand
-capitalised in the same document. Names without either aren't found.
+Values with a format (e-mail, phone, IPv4, IPv6, IBAN, social security, card and
+account numbers, birth dates, house numbers, secrets) are moved along a keyed
+cycle through all values of their format: a Feistel network puts the characters'
+mixed-radix numbers in a secret order, and a value goes to the next one of the
+same shape (Luhn, IBAN check, address class, leading zeros). A cycle can't make
+two values one, has one surrogate for one value everywhere, and leaves none as it was
+where there are two. First names move so inside the list of their gender and
+script. Surnames and streets aren't a closed list: theirs are drawn from
+syllables of their script, so two may meet, or meet a name that stands in the
+corpus; a check over the distinct names of all documents finds these, and all but
+the first draw again until none is shared.
+
+A person is found by a title, a listed given name, or a phrase like "my name is"
+or "Name:", with the capitalised names and initials that follow; their
+words are then replaced wherever they stand capitalised in the same document.
+Names without any of these aren't found, as they look like other proper names.
 
 Defined cases: null text stays null, empty text empty; texts without entities
 come back unchanged; repeated rows get the same surrogates; other columns are
@@ -25,6 +28,7 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,14 +38,24 @@ from arrayloom.llm.common import Scratch
 
 #: Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Mary Anna Julia Laura Sophie Emma Clara Alice Helen Irene Lucia Maria Elena Carmen Marie Camille Ingrid Petra Sabine Judith".split(),
-    ("latin", "m"): "John James Robert Peter Thomas Daniel Martin Lucas Oliver Henry Carlos Miguel Pablo Diego Pierre Antoine Stefan Klaus Jürgen Matthias".split(),
+    ("latin", "f"): (
+        "Mary Anna Julia Laura Sophie Emma Clara Alice Helen Irene Lucia Maria Elena Carmen Marie Camille Ingrid Petra Sabine Judith "
+        "Susan Patricia Jennifer Linda Elizabeth Barbara Jessica Sarah Karen Nancy Margaret Lisa Sandra Emily Michelle Amanda Rebecca Deborah Catherine Ruth "
+        "Monika Ursula Birgit Heike Nathalie Isabelle Chloé Pilar Rosa Teresa"
+    ).split(),
+    ("latin", "m"): (
+        "John James Robert Peter Thomas Daniel Martin Lucas Oliver Henry Carlos Miguel Pablo Diego Pierre Antoine Stefan Klaus Jürgen Matthias "
+        "William George Michael David Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Kevin Brian Edward Ronald Timothy Jason Jeffrey "
+        "Wolfgang Günter Heinz Dieter Jacques François Philippe Javier José Luis"
+    ).split(),
     ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана".split(),
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Δήμητρα".split(),
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παύλος".split(),
 }
 TITLES = "Mr Mrs Ms Miss Mx Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split()
+#: Phrases before a name.
+CUES = ("[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Cc]ontact:", "[Mm]ein Name ist", "[Jj]e m'appelle", "[Mm]e llamo", "[Мм]еня зовут", "[Μμ]ε λένε")
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па пе по ра ре ро са се со та те то".split(),
@@ -55,45 +69,64 @@ _FORMS = [
     ("secret", r"(?:(?<=token)|(?<=secret)|(?<=passwd)|(?<=password)|(?<=api_key)|(?<=apikey)|(?<=api-key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{12,}"),
     ("secret", r"\b(?:AKIA|ghp_|gho_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"),
+    ("birth", r"(?:(?<=[Bb]orn )|(?<=[Bb]orn on )|(?<=DOB )|(?<=DOB: )|(?<=[Bb]irth: )|(?<=[Bb]irth )|(?<=geboren am )|(?<=née le )|(?<=né le )|(?<=nacido el )|(?<=nacida el ))(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)"),
+    ("house", r"(?<![\w.,])\d{1,5}(?= [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b)|(?<=stra\u00dfe )\d{1,4}\b|(?<=gasse )\d{1,4}\b|(?<=weg )\d{1,4}\b"),
     ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w.,+/-])0\d{2,4}[ /-]\d{5,8}(?![\w/-])"),
     ("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])"),
 ]
 _FORM = re.compile("|".join(f"(?P<g{i}>{p})" for i, (_, p) in enumerate(_FORMS)))
 _GIVEN = "|".join(sorted((x for names in GIVEN.values() for n in names for x in (n, n.upper())), key=len, reverse=True))
-_HEAD = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<given>{_GIVEN})\b)")
+_HEAD = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<cue>{'|'.join(CUES)})|(?P<given>{_GIVEN})\b)")
+#: A street's name is found by the word after it or by its ending.
+_STREET = re.compile(r"(?<=\d )(?P<first>[A-Z][a-z]+)(?= (?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b)|\b(?P<last>[A-ZÄÖÜ][a-zäöü]+?)(?=(?:stra\u00dfe|gasse|weg) \d)")
 #: What follows a title or a given name: an initial or one more name.
 _PART = re.compile(r" (?:(?P<initial>[^\W\d_])\.?(?![\w'’-])|(?P<name>[^\W\d_]{2,}(?:-[^\W\d_]+)*|[^\W\d_](?:['’][^\W\d_]{2,})))")
 _MENTION = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*|[^\W\d_]['’][^\W\d_]{2,}")
 #: The most names and initials after a title or a given name.
 PARTS = 6
 _HINT = re.compile(r"[@\d]")
-_MAY_NAME = re.compile("|".join([*TITLES, _GIVEN]))
+_MAY_NAME = re.compile("|".join([*TITLES, *CUES, _GIVEN]))
+_MAY_STREET = re.compile(r"Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square|stra\u00dfe|gasse|weg")
+#: Special IPv4 networks (RFC 6890): hosts stay in them.
+_NETWORKS = [ipaddress.IPv4Network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4".split()]
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Permutation:
-    """A keyed permutation of 0 .. n - 1: Feistel rounds with cycle walking."""
+    """A keyed cycle through 0 .. n - 1: a Feistel network gives the numbers a secret order, and each goes to the next."""
 
     def __init__(self, key: bytes, purpose: str, n: int):
         self.n, half = n, max(1, ((n - 1).bit_length() + 1) // 2)
         self.half, self.mask = half, (1 << half) - 1
         self.key = hashlib.blake2b(f"{purpose}|{n}".encode(), key=key, digest_size=32).digest()
 
-    def once(self, x: int) -> int:
-        a, b = x >> self.half, x & self.mask
+    def _round(self, r: int, b: int) -> int:
         size = self.half // 8 + 1
+        return int.from_bytes(hashlib.shake_256(self.key + bytes([r]) + b.to_bytes(size, "big")).digest(size), "big") & self.mask
+
+    def place(self, x: int) -> int:
+        """Where x stands in the order."""
+        a, b = x >> self.half, x & self.mask
         for r in range(8):
-            h = hashlib.shake_256(self.key + bytes([r]) + b.to_bytes(size, "big")).digest(size)
-            a, b = b, a ^ (int.from_bytes(h, "big") & self.mask)
+            a, b = b, a ^ self._round(r, b)
+        return a << self.half | b
+
+    def at(self, y: int) -> int:
+        """What stands there."""
+        a, b = y >> self.half, y & self.mask
+        for r in reversed(range(8)):
+            a, b = b ^ self._round(r, a), a
         return a << self.half | b
 
     def __call__(self, x: int, fits=lambda y: True) -> int:
-        """The image of x among the values for which ``fits``, as it does for x."""
-        y = x
+        """The next after x of the values for which ``fits``; x itself if there is no other."""
+        place, every = self.place(x), (1 << 2 * self.half) - 1
         while True:
-            y = self.once(y)
+            place = place + 1 & every
+            y = self.at(place)
             if y < self.n and fits(y):
                 return y
 
@@ -182,10 +215,48 @@ class Surrogates:
         octets = [int(x) for x in s.split(".")]
         if max(octets) > 255:
             return self._moved("dotted", s, range(len(s)), lambda x: max(map(int, x.split("."))) > 255)
-        kind = lambda a: (a.is_private, a.is_loopback, a.is_multicast, a.is_reserved, a.is_link_local)
-        mine = kind(ipaddress.IPv4Address(bytes(octets)))
-        y = Permutation(self.key, "ipv4", 1 << 32)(int.from_bytes(bytes(octets), "big"), lambda y: kind(ipaddress.IPv4Address(y)) == mine)
-        return str(ipaddress.IPv4Address(y))
+        x = int.from_bytes(bytes(octets), "big")
+        for network in _NETWORKS:  # a host moves inside its special network
+            if ipaddress.IPv4Address(x) in network:
+                low, size = int(network.network_address), network.num_addresses
+                return str(ipaddress.IPv4Address(low + Permutation(self.key, f"ipv4 {network}", size)(x - low)))
+        public = lambda y: not any(ipaddress.IPv4Address(y) in n for n in _NETWORKS)
+        return str(ipaddress.IPv4Address(Permutation(self.key, "ipv4", 1 << 32)(x, public)))
+
+    def _ipv6(self, s: str) -> str:
+        """The hexadecimal digits after the first group, which tells the network's kind."""
+        first = s.index(":")
+        free = [i for i in range(first, len(s)) if s[i] in "0123456789abcdefABCDEF"] or [i for i in range(first) if s[i] in "0123456789abcdefABCDEF"]
+        upper = s != s.lower()
+        out = self._moved("ipv6", s.lower(), free, lower_hex=True)
+        return out.upper() if upper else out
+
+    def _birth(self, s: str) -> str:
+        """Another day of the same decades, in the same form; what is no date is moved digit by digit."""
+        parts = re.split(r"[-./]", s)
+        y, m, d = (parts[0], parts[1], parts[2]) if len(parts[0]) == 4 else (parts[2], parts[1], parts[0])
+        low, high = date(1900, 1, 1).toordinal(), date(2030, 1, 1).toordinal()
+        try:
+            day = date(int(y), int(m), int(d)).toordinal()
+        except ValueError:
+            day = 0
+        if not low <= day < high:
+            return self._moved("birth-", s, range(len(s)))
+
+        def spelled(n: int) -> str:
+            x = date.fromordinal(low + n)
+            if len(parts[0]) == 4:
+                return f"{x.year:04d}-{x.month:02d}-{x.day:02d}"
+            wide = len(parts[0]) == 2 and len(parts[1]) == 2
+            sign = s[len(parts[0])]
+            return f"{x.day:02d}{sign}{x.month:02d}{sign}{x.year:04d}" if wide else f"{x.day}{sign}{x.month}{sign}{x.year:04d}"
+
+        p = Permutation(self.key, "birth", high - low)
+        # one day has two spellings with single digits at most, and each stays in its own
+        return spelled(p(day - low, lambda n: len(spelled(n)) == len(s)))
+
+    def _house(self, s: str) -> str:
+        return self._moved("house", s, range(len(s)), lambda x: (x[0] == "0") == (s[0] == "0"))
 
     def _digits(self, kind: str, s: str, first: int, fits) -> str:
         """One surrogate for one number, however it is spaced."""
@@ -273,6 +344,11 @@ def entities(text: str):
     if _HINT.search(text) or "_" in text or "-" in text:
         for m in _FORM.finditer(text):
             found.append((_FORMS[int(m.lastgroup[1:])][0], m.start(), m.end()))
+    if _MAY_STREET.search(text):
+        taken = [(a, b) for _, a, b in found]
+        for m in _STREET.finditer(text):
+            if not any(a < m.end() and m.start() < b for a, b in taken):
+                found.append(("street", *m.span()))
     if _MAY_NAME.search(text):
         inside = bytearray(len(text))
         for _, a, b in found:
@@ -294,7 +370,10 @@ def entities(text: str):
 
 
 def surnames(text: str) -> set[str]:
-    return {text[a:b].casefold() for kind, a, b in entities(text) if kind == "surname"} if _MAY_NAME.search(text) else set()
+    """The surnames and streets of a text, whose surrogates are drawn."""
+    if not _MAY_NAME.search(text) and not _MAY_STREET.search(text):
+        return set()
+    return {text[a:b].casefold() for kind, a, b in entities(text) if kind in ("surname", "street")}
 
 
 def replaced(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list[str]]:
@@ -305,7 +384,7 @@ def replaced(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list
         old = text[a:b]
         if kind == "given":
             new = s.given(old)
-        elif kind == "surname":
+        elif kind in ("surname", "street"):
             new = s.surname(old, draws.get(old.casefold(), 0))
         elif kind == "initial":
             new = s._moved("initial", old, range(1))
@@ -318,10 +397,11 @@ def replaced(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list
 
 
 def surname_draws(rows: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """name and draw (from 1) of the surnames whose first surrogates are shared.
+    """name and draw (from 1) of the surnames whose first surrogates are shared or stand in the corpus.
 
     Rounds over the distinct surnames: the least of those that share a surrogate
-    keeps it, and the others draw again, until all are distinct.
+    keeps it, and the others draw again, until all are distinct and none is a
+    surname of any document.
     """
 
     def names(batches):
@@ -337,12 +417,15 @@ def surname_draws(rows: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
             made = [s.surname(n, d).casefold() for n, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["name", "draw", "made"])
 
-    state = rows.select("text").mapInArrow(names, "name string").distinct().withColumn("draw", F.lit(0).cast("long"))
+    real = scratch.save(rows.select("text").mapInArrow(names, "name string").distinct(), "surnames")
+    state = real.withColumn("draw", F.lit(0).cast("long"))
     while True:
         state = scratch.save(state.mapInArrow(drawn, "name string, draw bigint, made string"), "names")
         # the latest draws give way: what has been settled stays
-        owner = state.groupBy("made").agg(F.min(F.struct("draw", "name")).alias("own"), F.count("*").alias("n")).where("n > 1")
-        owner = scratch.save(owner.select("made", F.col("own.name").alias("owner")), "owners")
+        owner = state.groupBy("made").agg(F.min(F.struct("draw", "name")).alias("own"), F.count("*").alias("n"))
+        owner = owner.join(real.select(F.col("name").alias("made"), F.lit(True).alias("real")), "made", "left").where("n > 1 or real")
+        # nobody owns a surname of the corpus
+        owner = scratch.save(owner.select("made", F.when(F.col("real"), F.lit("")).otherwise(F.col("own.name")).alias("owner")), "owners")
         if not owner.head(1):
             return state.where("draw > 0").select("name", "draw")
         again = state.join(owner, "made", "left")
@@ -354,9 +437,14 @@ def replace_entities(
     *,
     id_column: str = "doc_id",
     text_column: str = "text",
-    key: bytes = b"arrayloom",
+    key: bytes,
 ) -> DataFrame:
-    """doc_id, text with surrogates, n_entities and kinds, one row a document."""
+    """doc_id, text with surrogates, n_entities and kinds, one row a document.
+
+    ``key`` is the secret that decides all surrogates; who has it can undo them.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
     scratch = Scratch(docs.sparkSession, "surrogates")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     draws = scratch.save(surname_draws(rows, key, scratch), "draws")
