@@ -32,8 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: The open lists of ``gathered``.
-_gathering: list[list[Scratch]] = []
+class _Open(list):
+    """The open lists of ``gathered``. They stay on the driver: what is sent to executors has none."""
+
+    def __reduce__(self):
+        return _Open, ()
+
+
+_gathering: list[list[Scratch]] = _Open()
 
 
 class Scratch:

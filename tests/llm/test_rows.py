@@ -184,3 +184,21 @@ def test_surrogates_are_no_surnames_of_the_corpus(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"Mr. {n} went.") for i, n in enumerate(names)], "doc_id long, text string")
     out = [r["text"].split()[1] for r in surrogates.replace_entities(df, key=KEY).collect()]
     assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
+def test_gathered_tables_go_and_blocks_are_sent(spark, monkeypatch):
+    """Functions are sent to executors while tables are gathered; released tables are gone."""
+    import os
+
+    from arrayloom.llm import graph, minhash
+    from arrayloom.llm.common import gathered
+
+    monkeypatch.setattr(graph, "SHORT", 1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with gathered() as made:
+        n = minhash.keep_one(docs).count()
+    assert 0 < n < docs.count() and len(made) == 1
+    base = made[0].base.removeprefix("file:")
+    assert os.path.isdir(base)
+    made[0].release()
+    assert not os.path.exists(base)
