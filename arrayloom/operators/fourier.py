@@ -1,8 +1,9 @@
 """Fourier transforms: batches of rows, whole vectors, N-D grids, and as a join.
 
 One numpy transform runs in one task, so a long vector is cut in two passes of
-about the square root of its length (four-step form); N-D grids take a pass for
-each axis. Forward transforms are unscaled, inverse ones divide by the length.
+about the square root of its length (four-step form). A length whose parts are
+far apart, like a prime, goes by a convolution with a chirp (Bluestein) over a length
+of twos, whose parts are near. N-D grids take a pass for each axis. Forward transforms are unscaled, inverse ones divide by the length.
 """
 
 from __future__ import annotations
@@ -67,12 +68,50 @@ def _pass(df: DataFrame, group: Column, place: Column, length: int, direction: s
     return rows.groupBy("g").applyInArrow(one, "g bigint, k bigint, re double, im double")
 
 
+def _times(re: Column, im: Column, angle: Column) -> list[Column]:
+    """(re + i im) turned by an angle."""
+    c, s = F.cos(angle), F.sin(angle)
+    return [(re * c - im * s).alias("re"), (re * s + im * c).alias("im")]
+
+
+def _chirped(df: DataFrame, n: int, direction: str) -> DataFrame:
+    """Bluestein: j k = (j^2 + k^2 - (k - j)^2) / 2 makes the transform a convolution of any length of at least 2 n - 1."""
+    m = 1 << (2 * n - 1).bit_length()
+    sign = -1 if direction == FORWARD else 1
+
+    def chirp(at: Column, turn: int) -> Column:
+        # the square modulo 2 n, by halves of the position so that no product passes a bigint
+        at = at.cast("long")
+        high, low = F.floor(at / 32768).cast("long"), at % 32768
+        square = ((high * high % (2 * n)) * 32768 % (2 * n) * 32768 + 2 * (high * low % (2 * n)) * 32768 + low * low) % (2 * n)
+        return F.lit(turn * math.pi / n) * square
+
+    idx = F.col("idx")
+    a = df.select("idx", *_times(F.col("re").cast("double"), F.col("im").cast("double"), chirp(idx, sign)))
+    k = df.sparkSession.range(m).select(F.col("id").alias("idx"), F.least(F.col("id"), F.lit(m) - F.col("id")).alias("far"))
+    b = k.where(F.col("far") < n).select("idx", *_times(F.lit(1.0), F.lit(0.0), chirp(F.col("far"), -sign)))
+    fa = vector(a, m).select("idx", F.col("re").alias("ar"), F.col("im").alias("ai"))
+    fb = vector(b, m).select("idx", F.col("re").alias("br"), F.col("im").alias("bi"))
+    product = fa.join(fb, "idx").select(
+        "idx", (F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")).alias("im")
+    )
+    c = vector(product, m, INVERSE).where(idx < n)
+    scale = 1.0 if direction == FORWARD else 1.0 / n
+    return c.select("idx", *_times(F.col("re") * scale, F.col("im") * scale, chirp(idx, sign)))
+
+
+#: Lengths that one task transforms whole; the larger of two parts may be so many times the smaller.
+WHOLE, APART = 1 << 8, 64
+
+
 def vector(df: DataFrame, n: int, direction: str = FORWARD) -> DataFrame:
-    """The transform of one vector (idx, re, im) of n positions."""
+    """The transform of one vector (idx, re, im) of n positions; missing ones are zeros."""
+    if n <= WHOLE:
+        return _pass(df, F.lit(0), F.col("idx"), n, direction).select(F.col("k").alias("idx"), "re", "im")
     n1 = max(d for d in range(1, math.isqrt(n) + 1) if n % d == 0)
     n2 = n // n1
-    if n1 == 1:
-        return _pass(df, F.lit(0), F.col("idx"), n, direction).select(F.col("k").alias("idx"), "re", "im")
+    if n2 > APART * n1:
+        return _chirped(df, n, direction)
     first = _pass(df, F.col("idx") % n2, F.floor(F.col("idx") / n2), n1, direction)
     angle = (-1 if direction == FORWARD else 1) * 2 * math.pi / n * ((F.col("g") * F.col("k")) % n)
     turned = first.select(

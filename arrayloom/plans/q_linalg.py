@@ -144,54 +144,57 @@ def spmv_of_expression(spark, d):
 # contractions
 
 
-def dense(spark, d, n=64):
-    t = table(spark, d, "embeddings").where(f"vec_id < {n}")
-    return t.select((F.col("vec_id") * 64).alias("at"), F.posexplode("embedding").alias("p", "x")).select((F.col("at") + F.col("p")).alias("idx"), F.col("x").cast("double").alias("v"))
+def dense(spark, d):
+    """All embeddings as a matrix of 64 columns, and its number of rows."""
+    t = table(spark, d, "embeddings")
+    m = t.select((F.col("vec_id") * 64).alias("at"), F.posexplode("embedding").alias("p", "x"))
+    return m.select((F.col("at") + F.col("p")).alias("idx"), F.col("x").cast("double").alias("v")), t.count()
 
 
-@query(f"SELECT a.r * 64 + b.r AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {B} a JOIN {B} b ON a.c = b.c WHERE a.r < 64 AND b.r < 64 GROUP BY 1")
-def matmul(spark, d):
-    """M times its transpose."""
-    m = dense(spark, d)
-    out, _ = tensor.tensordot(m, [64, 64], m, [64, 64], [(1, 1)])
+def _rounded(out):
     return out.select("idx", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(f"SELECT r AS idx, round(sum(v * (c % 4)), 6) + 0.0 AS v FROM {B} WHERE r < 64 GROUP BY r")
+@query(f"SELECT a.c * 64 + b.c AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {B} a JOIN {B} b ON a.r = b.r GROUP BY 1")
+def matmul(spark, d):
+    """The transpose of M times M: 64 x 64, whatever the number of rows."""
+    m, n = dense(spark, d)
+    return _rounded(tensor.tensordot(m, [n, 64], m, [n, 64], [(0, 0)])[0])
+
+
+@query(f"SELECT r AS idx, round(sum(v * (c % 4)), 6) + 0.0 AS v FROM {B} GROUP BY r")
 def matvec(spark, d):
+    m, n = dense(spark, d)
     x = spark.range(64).select(F.col("id").alias("idx"), (F.col("id") % 4).cast("double").alias("v"))
-    out, _ = tensor.tensordot(dense(spark, d), [64, 64], x, [64], [(1, 0)])
-    return out.select("idx", (F.round("v", 6) + 0.0).alias("v"))
+    return _rounded(tensor.tensordot(m, [n, 64], x, [64], [(1, 0)])[0])
 
 
-@query(f"SELECT c AS idx, round(sum(v * (r % 4)), 6) + 0.0 AS v FROM {B} WHERE r < 64 GROUP BY c")
+@query(f"SELECT c AS idx, round(sum(v * (r % 4)), 6) + 0.0 AS v FROM {B} GROUP BY c")
 def vecmat(spark, d):
-    x = spark.range(64).select(F.col("id").alias("idx"), (F.col("id") % 4).cast("double").alias("v"))
-    out, _ = tensor.tensordot(x, [64], dense(spark, d), [64, 64], [(0, 0)])
-    return out.select("idx", (F.round("v", 6) + 0.0).alias("v"))
+    m, n = dense(spark, d)
+    x = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") % 4).cast("double").alias("v"))
+    return _rounded(tensor.tensordot(x, [n], m, [n, 64], [(0, 0)])[0])
 
 
 @query(f"""
-WITH a AS (SELECT r * 64 + c AS idx, v FROM {B} WHERE r < 8), x AS (SELECT idx // 64 AS i, idx // 8 % 8 AS j, idx % 8 AS k, v FROM a)
-SELECT x.j * 8 + y.j AS idx, round(sum(x.v * y.v), 6) + 0.0 AS v FROM x JOIN x y ON x.i = y.k AND x.k = y.i GROUP BY 1
+WITH x AS (SELECT r AS i, c // 8 AS j, c % 8 AS k, v FROM {B})
+SELECT x.k * 8 + y.j AS idx, round(sum(x.v * y.v), 6) + 0.0 AS v FROM x JOIN x y ON x.i = y.i AND x.j = y.k GROUP BY 1
 """)
 def tensordot_2axes(spark, d):
-    """Two pairs of axes, crosswise: (0, 2) and (2, 0)."""
-    t = dense(spark, d, 8)
-    out, _ = tensor.tensordot(t, [8, 8, 8], t, [8, 8, 8], [(0, 2), (2, 0)])
-    return out.select("idx", (F.round("v", 6) + 0.0).alias("v"))
+    """Two pairs of axes, one of them crosswise: (0, 0) and (1, 2) of n x 8 x 8."""
+    t, n = dense(spark, d)
+    return _rounded(tensor.tensordot(t, [n, 8, 8], t, [n, 8, 8], [(0, 0), (1, 2)])[0])
 
 
-@query(f"SELECT a.r * 16 + b.r AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {B} a JOIN {B} b ON a.c = b.c WHERE a.r < 16 AND b.r < 16 GROUP BY 1")
+@query(f"SELECT a.c * 64 + b.c AS idx, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {B} a JOIN {B} b ON a.r = b.r GROUP BY 1")
 def matmul_reshape(spark, d):
     """The same product by replicating both factors to three axes and reducing one."""
     from arrayloom.operators import views
 
-    m = dense(spark, d, 16)
-    x = views.reshaped(m, [16, 64, 16], [0, 1]).withColumnRenamed("v", "x")
-    y = views.reshaped(m, [16, 64, 16], [2, 1]).withColumnRenamed("v", "y")
-    out, _ = views.reduced(x.join(y, "idx"), [16, 64, 16], [1], v=F.sum(F.col("x") * F.col("y")))
-    return out.select("idx", (F.round("v", 6) + 0.0).alias("v"))
+    m, n = dense(spark, d)
+    x = views.reshaped(m, [64, n, 64], [1, 0]).withColumnRenamed("v", "x")
+    y = views.reshaped(m, [64, n, 64], [1, 2]).withColumnRenamed("v", "y")
+    return _rounded(views.reduced(x.join(y, "idx"), [64, n, 64], [1], v=F.sum(F.col("x") * F.col("y")))[0])
 
 
 # stencils

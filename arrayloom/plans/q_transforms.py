@@ -94,13 +94,14 @@ def monte_carlo_pi(spark, d):
 
 # Fourier
 
-_DFT = """WITH e AS (SELECT vec_id AS id, j.range AS j, CAST(embedding[j.range + 1] AS DOUBLE) AS x FROM embeddings, range({n}) j WHERE vec_id < 50),
+#: Longer rows than 64 begin again.
+_DFT = """WITH e AS (SELECT vec_id AS id, j.range AS j, CAST(embedding[j.range % 64 + 1] AS DOUBLE) AS x FROM embeddings, range({n}) j),
 f AS (SELECT id, k.range AS k, sum(x * cos(2 * pi() * ((j * k.range) % {n}) / {n})) AS re, -sum(x * sin(2 * pi() * ((j * k.range) % {n}) / {n})) AS im
       FROM e, range({n}) k GROUP BY ALL)"""
 
 
 def _rows(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("id"), "embedding")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
 def _long(t):
@@ -117,14 +118,14 @@ def fft_batch(spark, d):
     return _long(fourier.batch(_rows(spark, d), "embedding"))
 
 
-@query(f"{_DFT.format(n=60)} SELECT id, k, {_ROUNDED} FROM f")
+@query(f"{_DFT.format(n=66)} SELECT id, k, {_ROUNDED} FROM f")
 def fft_composite_length(spark, d):
-    return _long(fourier.batch(_rows(spark, d).withColumn("embedding", F.slice("embedding", 1, 60)), "embedding"))
+    return _long(fourier.batch(_rows(spark, d).withColumn("embedding", F.concat("embedding", F.slice("embedding", 1, 2))), "embedding"))
 
 
-@query(f"{_DFT.format(n=61)} SELECT id, k, {_ROUNDED} FROM f")
+@query(f"{_DFT.format(n=67)} SELECT id, k, {_ROUNDED} FROM f")
 def fft_prime_length(spark, d):
-    return _long(fourier.batch(_rows(spark, d).withColumn("embedding", F.slice("embedding", 1, 61)), "embedding"))
+    return _long(fourier.batch(_rows(spark, d).withColumn("embedding", F.concat("embedding", F.slice("embedding", 1, 3))), "embedding"))
 
 
 @query(f"{_DFT.format(n=64)} SELECT id, k, {_ROUNDED} FROM f")
@@ -134,35 +135,57 @@ def fft_as_join(spark, d):
     return fourier.as_join(j, "id", 64).select("id", F.col("k").cast("long").alias("k"), (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
-@query("SELECT vec_id AS id, k.range AS k, round(CAST(embedding[k.range + 1] AS DOUBLE), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM embeddings, range(64) k WHERE vec_id < 50")
+@query("SELECT vec_id AS id, k.range AS k, round(CAST(embedding[k.range + 1] AS DOUBLE), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM embeddings, range(64) k")
 def fft_inverse_roundtrip(spark, d):
     return _long(fourier.batch(fourier.batch(_rows(spark, d), "embedding"), "re", "im", fourier.INVERSE))
 
 
-_SIGNAL = "(SELECT event_id AS j, value AS x FROM events WHERE event_id < 360)"
+def _signal(spark, d):
+    t = table(spark, d, "events")
+    return t.select(F.col("event_id").alias("idx"), F.col("value").alias("re"), F.lit(0.0).alias("im")), t.count()
 
 
-@query(f"""
-SELECT k.range AS idx, round(sum(x * cos(2 * pi() * ((j * k.range) % 360) / 360)), 5) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((j * k.range) % 360) / 360)), 5) + 0.0 AS im
-FROM {_SIGNAL}, range(360) k GROUP BY 1
+def _spectrum(t):
+    return t.select("idx", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM events),
+w AS (SELECT k.range AS k, cos(2 * pi() * k.range / n) AS c, sin(2 * pi() * k.range / n) AS s FROM n, range(n) k)
+SELECT k.range AS idx, round(sum(value * c), 3) + 0.0 AS re, round(-sum(value * s), 3) + 0.0 AS im
+FROM (SELECT event_id, value, n FROM n, events) e, range(e.n) k, w WHERE w.k = (event_id * k.range) % n GROUP BY 1
 """)
 def fft_vector(spark, d):
-    """One long vector, in two passes of about the root of its length."""
-    t = table(spark, d, "events").where("event_id < 360").select(F.col("event_id").alias("idx"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    return fourier.vector(t, 360).select("idx", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+    """All events as one long vector, in two passes of about the root of its length."""
+    t, n = _signal(spark, d)
+    return _spectrum(fourier.vector(t, n))
 
 
-_PLANE = "(SELECT event_id // 16 AS y, event_id % 16 AS x, value AS v FROM events WHERE event_id < 192)"
+@query("""
+WITH m AS (SELECT CAST(ceil(count(*) / 8) AS BIGINT) AS m FROM events),
+r AS (SELECT event_id // 8 AS y, kx.range AS kx, sum(value * cos(2 * pi() * ((event_id % 8 * kx.range) % 8) / 8)) AS re, -sum(value * sin(2 * pi() * ((event_id % 8 * kx.range) % 8) / 8)) AS im
+      FROM events, range(8) kx GROUP BY 1, 2)
+SELECT ky * 8 + kx AS idx, round(sum(re * cos(a) + im * sin(a)), 3) + 0.0 AS re, round(sum(im * cos(a) - re * sin(a)), 3) + 0.0 AS im
+FROM (SELECT kx, re, im, k.range AS ky, 2 * pi() * ((y * k.range) % m) / m AS a FROM r, m, range(m) k) GROUP BY 1
+""")
+def fft_2d(spark, d):
+    """All events as a plane of 8 columns."""
+    t, n = _signal(spark, d)
+    return _spectrum(fourier.grid(t, [-(-n // 8), 8]))
 
 
-@query(f"""
-SELECT ky * 16 + kx AS idx, round(sum(v * cos(a)), 5) + 0.0 AS re, round(-sum(v * sin(a)), 5) + 0.0 AS im
-FROM (SELECT v, ky.range AS ky, kx.range AS kx, 2 * pi() * (((y * ky.range) % 12) / 12.0::DOUBLE + ((x * kx.range) % 16) / 16.0::DOUBLE) AS a FROM {_PLANE}, range(12) ky, range(16) kx)
-GROUP BY 1
+@query("""
+WITH e AS (SELECT event_id % 997 AS j, sum(value) AS value FROM events GROUP BY 1)
+SELECT k.range AS idx, round(sum(value * cos(2 * pi() * ((j * k.range) % 997) / 997)), 3) + 0.0 AS re,
+       round(-sum(value * sin(2 * pi() * ((j * k.range) % 997) / 997)), 3) + 0.0 AS im
+FROM e, range(997) k GROUP BY 1
 """)
-def fft_2d(spark, d):
-    t = table(spark, d, "events").where("event_id < 192").select(F.col("event_id").alias("idx"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    return fourier.grid(t, [12, 16]).select("idx", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+def fft_vector_of_prime_length(spark, d):
+    """All events folded to 997 positions, a prime: by convolution of a length of twos."""
+    n = 997
+    t, _ = _signal(spark, d)
+    t = t.groupBy((F.col("idx") % n).alias("idx")).agg(F.sum("re").alias("re"), F.lit(0.0).alias("im"))
+    return _spectrum(fourier.vector(t, n))
 
 
 @query("SELECT range AS idx, round(sin(2 * pi() * range / 64), 6) + 0.0 AS u FROM range(64)")

@@ -12,19 +12,26 @@ from arrayloom.sources import vectors
 from arrayloom.sources.tables import table
 
 V = "(SELECT event_id AS idx, user_id AS u, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
-#: A grid of 32 x 32 over the first 1024 positions; a cube of 8 x 8 x 16.
-G = f"(SELECT idx, v, idx // 32 AS i, idx % 32 AS j FROM {V} WHERE idx < 1024)"
-CUBE = f"(SELECT idx, v, idx // 128 AS i, idx // 16 % 8 AS j, idx % 16 AS k FROM {V} WHERE idx < 1024)"
+#: All positions as a grid of 8 columns, and as a cube of n / 8 x 4 x 2.
+G = f"(SELECT idx, v, idx // 8 AS i, idx % 8 AS j, (SELECT CAST(ceil(count(*) / 8) AS BIGINT) FROM events) AS rows FROM {V})"
+CUBE = f"(SELECT idx, v, idx // 8 AS i, idx // 2 % 4 AS j, idx % 2 AS k, (SELECT CAST(ceil(count(*) / 8) AS BIGINT) FROM events) AS rows FROM {V})"
 B = "(SELECT CAST(vec_id AS BIGINT) AS r, CAST(c.range AS BIGINT) AS c, CAST(embedding[c.range + 1] AS DOUBLE) AS v FROM embeddings, range(64) c)"
-GRID, BOX = [32, 32], [8, 8, 16]
 
 
 def values(spark, d):
     return events(spark, d).select("idx", "v")
 
 
-def grid(spark, d):
-    return values(spark, d).where("idx < 1024")
+def size(spark, d) -> int:
+    return table(spark, d, "events").count()
+
+
+def grid_shape(spark, d) -> list[int]:
+    return [-(-size(spark, d) // 8), 8]
+
+
+def box_shape(spark, d) -> list[int]:
+    return [-(-size(spark, d) // 8), 4, 2]
 
 
 @query(f"SELECT (SELECT count(*) FROM events) - 1 - idx AS idx, v FROM {V}")
@@ -80,9 +87,9 @@ def reinterpret_components(spark, d):
     return vectors.interleave_components(t).select("idx", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(f"SELECT idx, v AS c0, w AS c1 FROM {V} a JOIN (SELECT idx - 256 AS idx, v AS w FROM {V}) b USING (idx) WHERE idx < 256")
+@query(f"SELECT idx, v AS c0, w AS c1 FROM {V} a JOIN (SELECT idx - (SELECT count(*) // 2 FROM events) AS idx, v AS w FROM {V}) b USING (idx)")
 def multivector_copy(spark, d):
-    return vectors.split_components(values(spark, d).where("idx < 512"), 2)
+    return vectors.split_components(values(spark, d), 2)
 
 
 @query(f"SELECT (idx - 3) // 5 AS idx, v FROM {V} WHERE idx >= 3 AND idx < 503 AND (idx - 3) % 5 = 0")
@@ -93,28 +100,28 @@ def slice_stride(spark, d):
 
 @query(f"SELECT j AS idx, v FROM {G} WHERE i = 7")
 def slice_row(spark, d):
-    return views.sliced(grid(spark, d), GRID, 7)[0]
+    return views.sliced(values(spark, d), grid_shape(spark, d), 7)[0]
 
 
 @query(f"SELECT i AS idx, v FROM {G} WHERE j = 5")
 def slice_col(spark, d):
-    return views.sliced(grid(spark, d), GRID, None, 5)[0]
+    return views.sliced(values(spark, d), grid_shape(spark, d), None, 5)[0]
 
 
-@query(f"SELECT (i - 2) // 2 * 4 + (j - 4) // 2 AS idx, v FROM {G} WHERE i BETWEEN 2 AND 10 AND i % 2 = 0 AND j BETWEEN 4 AND 10 AND j % 2 = 0")
+@query(f"SELECT (i - 2) // 2 * 4 + (j - 1) // 2 AS idx, v FROM {G} WHERE i BETWEEN 2 AND 10 AND i % 2 = 0 AND j % 2 = 1")
 def slice_block(spark, d):
-    return views.sliced(grid(spark, d), GRID, Range(2, 11, 2), Range(4, 11, 2))[0]
+    return views.sliced(values(spark, d), grid_shape(spark, d), Range(2, 11, 2), Range(1, 8, 2))[0]
 
 
-@query(f"SELECT (5 - i) // 2 * 32 + j AS idx, v FROM {G} WHERE i IN (5, 3, 1)")
+@query(f"SELECT (5 - i) // 2 * 8 + j AS idx, v FROM {G} WHERE i IN (5, 3, 1)")
 def slice_negative_stride(spark, d):
-    return views.sliced(grid(spark, d), GRID, Range(5, 0, -2))[0]
+    return views.sliced(values(spark, d), grid_shape(spark, d), Range(5, 0, -2))[0]
 
 
-@query(f"SELECT idx, CASE WHEN i = 3 AND j >= 8 AND j < 24 THEN (j - 8) * 100 ELSE v END AS v FROM {G}")
+@query(f"SELECT idx, CASE WHEN i = 3 AND j >= 2 AND j < 6 THEN (j - 2) * 100 ELSE v END AS v FROM {G}")
 def slice_assign(spark, d):
-    rhs = spark.range(16).select(F.col("id").alias("idx"), (F.col("id") * 100).alias("v"))
-    return views.slice_assigned(grid(spark, d), GRID, [3, Range(8, 24)], rhs)
+    rhs = spark.range(4).select(F.col("id").alias("idx"), (F.col("id") * 100).alias("v"))
+    return views.slice_assigned(values(spark, d), grid_shape(spark, d), [3, Range(2, 6)], rhs)
 
 
 @query(f"SELECT r.range AS idx, v FROM range(10) r JOIN {V} t ON t.idx = 2 + r.range * 3")
@@ -127,58 +134,58 @@ def gslice_2d(spark, d):
     return views.gslice(values(spark, d), 100, [3, 5], [32, 2]).select("idx", "v")
 
 
-@query(f"SELECT j * 32 + i AS idx, v FROM {G}")
+@query(f"SELECT j * rows + i AS idx, v FROM {G}")
 def transpose(spark, d):
-    return views.reshaped(grid(spark, d), GRID, [1, 0])
+    return views.reshaped(values(spark, d), grid_shape(spark, d)[::-1], [1, 0])
 
 
-@query(f"SELECT r.range * 32 + idx AS idx, v FROM {V}, range(8) r WHERE idx < 32")
+@query(f"SELECT r.range * (SELECT count(*) FROM events) + idx AS idx, v FROM {V}, range(8) r")
 def broadcast_rows(spark, d):
-    """One row repeated as eight."""
-    return views.reshaped(values(spark, d).where("idx < 32"), [8, 32], [1])
+    """The vector as a row, repeated as eight."""
+    return views.reshaped(values(spark, d), [8, size(spark, d)], [1])
 
 
-@query(f"SELECT idx * 8 + r.range AS idx, v FROM {V}, range(8) r WHERE idx < 32")
+@query(f"SELECT idx * 8 + r.range AS idx, v FROM {V}, range(8) r")
 def broadcast_cols(spark, d):
-    return views.reshaped(values(spark, d).where("idx < 32"), [32, 8], [0])
+    return views.reshaped(values(spark, d), [size(spark, d), 8], [0])
 
 
-@query(f"SELECT k * 64 + j * 8 + i AS idx, v FROM {CUBE}")
+@query(f"SELECT (k * 4 + j) * rows + i AS idx, v FROM {CUBE}")
 def reshape_cube(spark, d):
     """A cube with its axes in reverse order."""
-    return views.reshaped(grid(spark, d), [16, 8, 8], [2, 1, 0])
+    return views.reshaped(values(spark, d), box_shape(spark, d)[::-1], [2, 1, 0])
 
 
 @query(f"SELECT i AS idx, CAST(sum(v) AS BIGINT) AS total FROM {G} GROUP BY i")
 def reduce_rows(spark, d):
-    return views.reduced(grid(spark, d), GRID, [1], total=F.sum("v"))[0]
+    return views.reduced(values(spark, d), grid_shape(spark, d), [1], total=F.sum("v"))[0]
 
 
 @query(f"SELECT j AS idx, CAST(sum(v) AS BIGINT) AS total, max(v) AS hi FROM {G} GROUP BY j")
 def reduce_cols(spark, d):
-    return views.reduced(grid(spark, d), GRID, [0], total=F.sum("v"), hi=F.max("v"))[0]
+    return views.reduced(values(spark, d), grid_shape(spark, d), [0], total=F.sum("v"), hi=F.max("v"))[0]
 
 
 @query(f"SELECT j AS idx, CAST(sum(v) AS BIGINT) AS total FROM {CUBE} GROUP BY j")
 def reduce_multi_dim(spark, d):
-    return views.reduced(grid(spark, d), BOX, [2, 0], total=F.sum("v"))[0]
+    return views.reduced(values(spark, d), box_shape(spark, d), [2, 0], total=F.sum("v"))[0]
 
 
 @query(f"SELECT CAST(0 AS BIGINT) AS idx, CAST(sum(v) AS BIGINT) AS total FROM {CUBE}")
 def reduce_all_dims(spark, d):
-    return views.reduced(grid(spark, d), BOX, [0, 1, 2], total=F.sum("v"))[0]
+    return views.reduced(values(spark, d), box_shape(spark, d), [0, 1, 2], total=F.sum("v"))[0]
 
 
 @query(f"SELECT CAST(0 AS BIGINT) AS idx, max(total) AS total FROM (SELECT i, CAST(sum(v) AS BIGINT) AS total FROM {CUBE} GROUP BY i)")
 def reduce_nested(spark, d):
-    inner, shape = views.reduced(grid(spark, d), BOX, [1, 2], total=F.sum("v"))
+    inner, shape = views.reduced(values(spark, d), box_shape(spark, d), [1, 2], total=F.sum("v"))
     return views.reduced(inner, shape, [0], total=F.max("total"))[0]
 
 
-@query(f"SELECT k * 8 + j AS idx, v FROM {CUBE} WHERE i = 2")
+@query(f"SELECT k * 4 + j AS idx, v FROM {CUBE} WHERE i = 2")
 def multi_array_transpose_copy(spark, d):
     """A plane of a cube, copied with its axes exchanged."""
-    plane, shape = views.sliced(grid(spark, d), BOX, 2)
+    plane, shape = views.sliced(values(spark, d), box_shape(spark, d), 2)
     return views.reshaped(plane, shape[::-1], [1, 0])
 
 
@@ -190,6 +197,6 @@ def nbody(spark, d):
     return t.join(F.broadcast(total)).select("idx", (F.col("total") - F.col("v")).alias("v"))  # one row
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS idx, o_orderkey * 2 AS v FROM orders WHERE o_orderkey < 64")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS idx, o_orderkey * 2 AS v FROM orders")
 def vector_from_expression(spark, d):
-    return orders(spark, d).where("idx < 64").select("idx", (F.col("idx") * 2).alias("v"))
+    return orders(spark, d).select("idx", (F.col("idx") * 2).alias("v"))
