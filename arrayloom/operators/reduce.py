@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType
 
 from arrayloom.operators.blocks import BLOCK, runs
@@ -53,54 +54,93 @@ def all_of(x: Column) -> Column:
     return F.coalesce(F.bool_and(x), F.lit(True))
 
 
+#: A mantissa of 53 bits is summed in three pieces of 18 bits, exactly for up to 2 ** 44 rows.
+_PIECE = 18
+_LEAST = -1126  # exponent of the last bit of the smallest number
+
+
 def exact_sum(df: DataFrame, x: Column, by: Sequence[str] = (), out: str = "total") -> DataFrame:
-    """Sums rounded once, by ``math.fsum`` in every task and again over the partial sums.
+    """Sums rounded once: the correctly rounded sum of all values, in whatever order.
 
-    A task gives a few non-overlapping partial sums for each key, which add up
-    exactly to its share, so the result is the correctly rounded sum.
+    Every value becomes its exponent and three whole pieces of its mantissa, which
+    Spark sums by key and exponent, so a key has some 2,000 rows at most before
+    its sum is rounded. Nulls count as nothing; infinities and NaN as usual.
     """
     names = list(by)
     rows = df.select(*names, x.cast("double").alias("__x"))
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*names).dtypes], "__x double"]) if names else "__x double"
+    made = ["__e int", "__a bigint", "__b bigint", "__c bigint", "__odd double"]
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*names).dtypes], *made])
 
-    def partial(batches):
-        sums: dict[tuple, list[float]] = {}
+    def cut(batches):
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *key, v in zip(*columns, strict=True):
-                if v is not None:
-                    _grow(sums.setdefault(tuple(key), []), v)
-        rows_ = [(*k, v) for k, parts in sums.items() for v in (parts or [0.0])]
-        table = list(zip(*rows_, strict=True)) if rows_ else [[]] * (len(names) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(c) if c else pa.array([], f.type) for c, f in zip(table, fields, strict=True)], schema=fields)
-
-    fields = to_arrow_schema(rows.schema)
-    parts = rows.mapInArrow(partial, schema)
-    # a bounded list: a few partial sums for each task
-    summed = parts.groupBy(*names).agg(F.collect_list("__x").alias("__parts"))
-    return summed.select(*names, _fsum()("__parts").alias(out))
-
-
-def _grow(parts: list[float], x: float) -> None:
-    """Add x to non-overlapping partial sums without any loss (Shewchuk)."""
-    i = 0
-    for y in parts:
-        if abs(x) < abs(y):
-            x, y = y, x
-        hi = x + y
-        if lo := y - (hi - x):
-            parts[i] = lo
-            i += 1
-        x = hi
-    parts[i:] = [x]
-
-
-def _fsum():
+            v = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(float)
+            v = np.where(np.asarray(batch.column(len(names)).is_null()), 0.0, v)
+            odd = ~np.isfinite(v)
+            m, e = np.frexp(np.where(odd, 0.0, v))
+            whole = (m * 2.0**53).astype(np.int64)
+            mask = (1 << _PIECE) - 1
+            pieces = [whole >> 2 * _PIECE, whole >> _PIECE & mask, whole & mask]
+            columns = [pa.array(e.astype(np.int32)), *map(pa.array, pieces), pa.array(np.where(odd, v, 0.0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *[c.split()[0] for c in made]])
+
+    parts = rows.mapInArrow(cut, schema)
+    summed = parts.groupBy(*names, "__e").agg(*[F.sum(c).alias(c) for c in ("__a", "__b", "__c", "__odd")])
+    each = F.collect_list(F.struct("__e", "__a", "__b", "__c"))  # one entry an exponent
+    return summed.groupBy(*names).agg(each.alias("__parts"), F.sum("__odd").alias("__odd")).select(*names, _rounded()("__parts", "__odd").alias(out))
+
+
+def _rounded():
     @pandas_udf(DoubleType())
-    def fsum(x: pd.Series) -> pd.Series:
-        return x.map(math.fsum)
+    def rounded(parts: pd.Series, odd: pd.Series) -> pd.Series:
+        def one(entries, o: float) -> float:
+            if o is not None and o != 0:
+                return o
+            total = sum(((p["__a"] << 2 * _PIECE) + (p["__b"] << _PIECE) + p["__c"]) << p["__e"] - 53 - _LEAST for p in entries)
+            try:
+                return total / (1 << -_LEAST)  # rounds once
+            except OverflowError:
+                return math.copysign(math.inf, total)
+
+        return pd.Series([one(p, o) for p, o in zip(parts, odd, strict=True)], index=parts.index, dtype=float)
+
+    return rounded
+
+
+@dataclass(frozen=True)
+class Reduction:
+    """A reduction of one's own: a state begins as ``initial``, takes values by ``step``, and joins a later state by ``merge``.
 
-    return fsum
+    ``merge`` must be associative, and ``initial`` its identity; the order of
+    positions is kept, so it needn't commute. All are Catalyst expressions.
+    """
+
+    initial: Column
+    step: Callable[[Column, Column], Column]
+    merge: Callable[[Column, Column], Column]
+    finish: Callable[[Column], Column] = lambda state: state
+
+
+def reduce_with(df: DataFrame, value: Column, kind: Reduction, by: Sequence[str] = (), *, idx: str = "idx", size: int = 1 << 12, out: str = "total") -> DataFrame:
+    """One's own reduction over positions, for each key of ``by``.
+
+    Every ``size`` positions are folded where they meet, then every ``size``
+    states, and so on: no task holds more than ``size`` rows of one fold at once.
+    """
+    last = df.agg(F.max(idx)).first()[0]
+
+    def folded(t: DataFrame, f: Callable, place: Column) -> DataFrame:
+        keys = [*by, place.alias("__at")]
+        ordered = F.array_sort(F.collect_list(F.struct(F.col("__place"), F.col("__item"))))
+        return t.groupBy(*keys).agg(F.aggregate(ordered, kind.initial, lambda s, x: f(s, x["__item"])).alias("__item")).withColumnRenamed("__at", "__place")
+
+    t = folded(df.select(*by, F.col(idx).alias("__place"), value.alias("__item")), kind.step, F.floor(F.col("__place") / size).cast("long"))
+    blocks = 0 if last is None else last // size
+    while blocks:
+        t = folded(t, kind.merge, F.floor(F.col("__place") / size).cast("long"))
+        blocks //= size
+    if last is None and not by:
+        t = df.sparkSession.range(1).select(kind.initial.alias("__item"))
+    return t.select(*by, kind.finish(F.col("__item")).alias(out))
 
 
 def reduce_by_key(df: DataFrame, keys: Sequence[str], size: int = BLOCK, changed: Column | None = None, **aggregates: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arrayloom.functions import scalar, short_vectors, special
+from arrayloom.operators import reduce, symbolic
 from arrayloom.plans.catalog import query
 from arrayloom.sources.tables import table
 
@@ -186,3 +187,58 @@ def reinterpreted_bits(spark, d):
     i = F.col("event_id")
     x = F.when(i % 3 == 0, 1.0).when(i % 3 == 1, 2.0).otherwise(-1.0)
     return _events(spark, d).select(_idx(), special.reinterpret(x, "f8", "i8").alias("bits"))
+
+
+@query("SELECT event_id AS idx, round(CASE WHEN value > 50 AND NOT event_id % 2 = 0 THEN value * value + sin(value) ELSE -value / 4 END, 6) AS y FROM events")
+def function_from_text(spark, d):
+    f = symbolic.from_text("return if_else(x > 50 && !(i % 2 == 0), x * x + sin(x), -x / 4);", "x", "i")
+    return _events(spark, d).select(_idx(), F.round(f(F.col("value"), F.col("event_id")), 6).alias("y"))
+
+
+class _Distance(symbolic.UserFunction):
+    def body(self, m, x, y):
+        return m.sqrt(x * x + y * y)
+
+
+@query("SELECT event_id AS idx, round(sqrt(value * value + CAST(user_id AS DOUBLE) * user_id), 6) AS r FROM events")
+def function_as_class(spark, d):
+    return _events(spark, d).select(_idx(), F.round(_Distance()(F.col("value"), F.col("user_id").cast("double")), 6).alias("r"))
+
+
+def _moments() -> reduce.Reduction:
+    """Number, mean and sum of squared deviations, joined without cancellation."""
+
+    def state(n, mean, m2):
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    def merge(a, b):
+        n, gap = a.n + b.n, b.mean - a.mean
+        safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return state(n, a.mean + gap * b.n / safe, a.m2 + b.m2 + gap * gap * a.n * b.n / safe)
+
+    return reduce.Reduction(
+        state(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
+        lambda s, x: merge(s, state(F.lit(1.0), x, F.lit(0.0))),
+        merge,
+        lambda s: F.struct(s.n.cast("long").alias("n"), F.round(s.mean, 6).alias("mean"), F.round(s.m2 / s.n, 4).alias("variance")),
+    )
+
+
+@query("SELECT count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events")
+def reduce_user_defined(spark, d):
+    v = _events(spark, d).select(F.col("event_id").alias("idx"), F.col("value").alias("v"))
+    return reduce.reduce_with(v, F.col("v"), _moments(), size=64).select("total.*")
+
+
+@query("SELECT event_type AS k, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
+def reduce_user_defined_by_key(spark, d):
+    v = _events(spark, d).select(F.col("event_id").alias("idx"), F.col("value").alias("v"), F.col("event_type").alias("k"))
+    return reduce.reduce_with(v, F.col("v"), _moments(), by=["k"]).select("k", "total.*")
+
+
+@query("SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS text FROM events")
+def reduce_in_order(spark, d):
+    """A reduction that doesn't commute: the first letters in the order of positions."""
+    letters = reduce.Reduction(F.lit(""), F.concat, F.concat)
+    v = _events(spark, d).select(F.col("event_id").alias("idx"), F.substring("event_type", 1, 1).alias("v"))
+    return reduce.reduce_with(v, F.col("v"), letters, size=16, out="text")
