@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,44 +148,55 @@ def normal(df: DataFrame, seed: int = 0, generator: str = "philox", counter: str
 _M64 = (1 << 64) - 1
 
 
-def _philox_64(w: list[int], k: list[int], rounds: int = 10) -> list[int]:
+def _mul_64(c: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and the lower 64 bits of products, by halves of 32 bits."""
+    low, up = np.uint64(0xFFFFFFFF), np.uint64(32)
+    c0, c1 = np.uint64(c & 0xFFFFFFFF), np.uint64(c >> 32)
+    x0, x1 = x & low, x >> up
+    middle = c1 * x0 + (c0 * x0 >> up)
+    other = c0 * x1 + (middle & low)
+    return c1 * x1 + (middle >> up) + (other >> up), x * np.uint64(c)
+
+
+def _philox_64(w: list[np.ndarray], k: list[int], rounds: int = 10) -> list[np.ndarray]:
     for _ in range(rounds):
+        keys = [np.uint64(x) for x in k]
         if len(w) == 2:
-            p = PHILOX_2X64_MULTIPLIER * w[0]
-            w = [p >> 64 ^ k[0] ^ w[1], p & _M64]
+            hi, lo = _mul_64(PHILOX_2X64_MULTIPLIER, w[0])
+            w = [hi ^ keys[0] ^ w[1], lo]
         else:
-            p, q = PHILOX_4X64_MULTIPLIERS[0] * w[0], PHILOX_4X64_MULTIPLIERS[1] * w[2]
-            w = [q >> 64 ^ w[1] ^ k[0], q & _M64, p >> 64 ^ w[3] ^ k[1], p & _M64]
+            (p_hi, p_lo), (q_hi, q_lo) = _mul_64(PHILOX_4X64_MULTIPLIERS[0], w[0]), _mul_64(PHILOX_4X64_MULTIPLIERS[1], w[2])
+            w = [q_hi ^ w[1] ^ keys[0], q_lo, p_hi ^ w[3] ^ keys[1], p_lo]
         k = [(x + y) & _M64 for x, y in zip(k, PHILOX_64_WEYL)]
     return w
 
 
-def _threefry_64(w: list[int], k: list[int], rounds: int = 20) -> list[int]:
+def _threefry_64(w: list[np.ndarray], k: list[int], rounds: int = 20) -> list[np.ndarray]:
     n, parity = len(w), THREEFRY_64_PARITY
     for x in k:
         parity ^= x
     ks = [*k, parity]
-    w = [(x + y) & _M64 for x, y in zip(w, ks)]
+    w = [x + np.uint64(y) for x, y in zip(w, ks)]
     for r in range(rounds):
         for p in range(0, n, 2):
             t = THREEFRY_2X64_ROTATIONS[r % 8] if n == 2 else THREEFRY_4X64_ROTATIONS[r % 8][(p // 2 + r) % 2]
-            w[p] = (w[p] + w[p + 1]) & _M64
-            w[p + 1] = ((w[p + 1] << t | w[p + 1] >> (64 - t)) & _M64) ^ w[p]
+            w[p] = w[p] + w[p + 1]
+            w[p + 1] = (w[p + 1] << np.uint64(t) | w[p + 1] >> np.uint64(64 - t)) ^ w[p]
         if r % 4 == 3:
             i = (r + 1) // 4
-            w = [(x + ks[(i + j) % (n + 1)] + (i if j == n - 1 else 0)) & _M64 for j, x in enumerate(w)]
+            w = [x + np.uint64((ks[(i + j) % (n + 1)] + (i if j == n - 1 else 0)) & _M64) for j, x in enumerate(w)]
     return w
 
 
 def words_64(df: DataFrame, seed: int = 0, n: int = 2, generator: str = "philox", counter: str = "idx", out: str = "words") -> DataFrame:
-    """2 or 4 words of 64 bits (as signed bigints), by Python integers in Arrow batches."""
+    """2 or 4 words of 64 bits (as signed bigints), by vectors of unsigned integers in Arrow batches."""
     f, keys = (_philox_64, n // 2) if generator == "philox" else (_threefry_64, n)
 
-    def one(c: int) -> list[int]:
-        return [x - (1 << 64) if x >> 63 else x for x in f([c & _M64, seed & _M64] * (n // 2), [KEY] * keys)]
-
     def run(batches):
         for b in batches:
-            yield b.append_column(out, pa.array([one(c) for c in b.column(counter).to_pylist()], pa.list_(pa.int64())))
+            c = b.column(counter).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            w = f([c, np.full(len(c), seed & _M64, np.uint64)] * (n // 2), [KEY] * keys)
+            flat = np.stack(w, axis=1).reshape(-1).view(np.int64) if len(c) else np.zeros(0, np.int64)
+            yield b.append_column(out, pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * n), pa.array(flat)))
 
     return df.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"`{out}` array<bigint>"]))

@@ -60,9 +60,9 @@ def product(a: DataFrame, x: DataFrame, n_rows: int, *values: str, ring: Semirin
     names = values or ("v",)
     joined = a.join(x.select(F.col("idx").alias("col"), *[F.col(c).alias(f"__{c}") for c in names]), "col")
     terms = joined.select("row", *[ring.mul(F.col("val"), F.col(f"__{c}")).alias(c) for c in names])
-    sums = terms.groupBy(F.col("row").alias("idx")).agg(*[ring.add(F.col(c)).alias(c) for c in names])
-    rows = a.sparkSession.range(n_rows).withColumnRenamed("id", "idx")
-    return rows.join(sums, "idx", "left").select("idx", *[F.coalesce(F.col(c), ring.zero).alias(c) for c in names])
+    # a zero for every row, so that empty ones are there without one more join
+    zeros = a.sparkSession.range(n_rows).select("id", *[ring.zero.alias(c) for c in names])
+    return terms.union(zeros).groupBy(F.col("row").alias("idx")).agg(*[ring.add(F.col(c)).alias(c) for c in names])
 
 
 def repeated_rows_product(rows: DataFrame, patterns: DataFrame, x: DataFrame) -> DataFrame:
@@ -72,5 +72,5 @@ def repeated_rows_product(rows: DataFrame, patterns: DataFrame, x: DataFrame) ->
     (pattern, shift, val) holds them, columns relative to the diagonal.
     """
     entries = rows.join(patterns, "pattern").select(F.col("idx").alias("row"), (F.col("idx") + F.col("shift")).alias("col"), "val")
-    sums = entries.join(x.select(F.col("idx").alias("col"), "v"), "col").groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("val") * F.col("v")).alias("v"))
-    return rows.select("idx").join(sums, "idx", "left").select("idx", F.coalesce("v", F.lit(0.0)).alias("v"))
+    terms = entries.join(x.select(F.col("idx").alias("col"), "v"), "col").select("row", (F.col("val") * F.col("v")).alias("v"))
+    return terms.union(rows.select("idx", F.lit(0.0))).groupBy(F.col("row").alias("idx")).agg(F.sum("v").alias("v"))

@@ -46,6 +46,41 @@ def test_random_moments(spark):
         assert len({tuple(r["words"]) for r in w}) == 50 and {len(r["words"]) for r in w} == {n}
 
 
+def test_64_bit_words_known_answers():
+    """All counter and key words zero; against Python's integers for others."""
+    zero = [np.zeros(1, np.uint64)]
+    for f, n, keys, want in (
+        (rng._philox_64, 2, 1, ["ca00a0459843d731", "66c24222c9a845b5"]),
+        (rng._philox_64, 4, 2, ["16554d9eca36314c", "db20fe9d672d0fdc", "d7e772cee186176b", "7e68b68aec7ba23b"]),
+        (rng._threefry_64, 2, 2, ["c2b6e3a8c2c69865", "6f81ed42f350084d"]),
+    ):
+        assert [f"{int(x[0]):016x}" for x in f(zero * n, [0] * keys)] == want
+    for c in (3, (1 << 63) - 1, (1 << 64) - 1):
+        hi, lo = rng._mul_64(rng.PHILOX_2X64_MULTIPLIER, np.array([c], np.uint64))
+        assert (int(hi[0]) << 64 | int(lo[0])) == c * rng.PHILOX_2X64_MULTIPLIER
+
+
+def test_exact_sum_of_hard_values(spark):
+    import math
+
+    from arrayloom.operators import reduce
+
+    sets = {
+        "a": [1e308, 1e308, -1e308, 1.0, -1e308, 5e-324],
+        "b": [0.1] * 10 + [1e16, 1.0, -1e16],
+        "c": [None, None],
+        "d": [math.inf, 1.0],
+        "e": [math.inf, -math.inf],
+        "f": [1e308, 1e308],
+        "g": [5e-324, 5e-324, -0.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, x in sets.items() for v in x], "k string, v double")
+    got = {r["k"]: r["total"] for r in reduce.exact_sum(df, F.col("v"), ["k"]).collect()}
+    assert got["a"] == math.fsum([1.0, 5e-324]) and got["b"] == math.fsum(sets["b"]) and got["c"] == 0.0
+    assert got["d"] == math.inf and math.isnan(got["e"]) and got["f"] == math.inf and got["g"] == 1e-323
+    assert reduce.exact_sum(df.where("k = 'b'"), F.col("v")).first()[0] == math.fsum(sets["b"])
+
+
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60), st.sampled_from([3, 7, 100]))
 @FEW
 def test_scans_by_block(spark, xs, size):
