@@ -99,7 +99,7 @@ def _rounded():
             try:
                 return total / (1 << -_LEAST)  # rounds once
             except OverflowError:
-                return math.copysign(math.inf, total)
+                return math.inf if total > 0 else -math.inf
 
         return pd.Series([one(p, o) for p, o in zip(parts, odd, strict=True)], index=parts.index, dtype=float)
 
