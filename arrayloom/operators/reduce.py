@@ -86,22 +86,22 @@ def exact_sum(df: DataFrame, x: Column, by: Sequence[str] = (), out: str = "tota
     parts = rows.mapInArrow(cut, schema)
     summed = parts.groupBy(*names, "__e").agg(*[F.sum(c).alias(c) for c in ("__a", "__b", "__c", "__odd")])
     each = F.collect_list(F.struct("__e", "__a", "__b", "__c"))  # one entry an exponent
-    return summed.groupBy(*names).agg(each.alias("__parts"), F.sum("__odd").alias("__odd")).select(*names, _rounded()("__parts", "__odd").alias(out))
+    return summed.groupBy(*names).agg(each.alias("__parts"), F.sum("__odd").alias("__odd")).select(
+        *names, F.when(F.col("__odd") != 0, F.col("__odd")).otherwise(_rounded()("__parts")).alias(out)
+    )
 
 
 def _rounded():
     @pandas_udf(DoubleType())
-    def rounded(parts: pd.Series, odd: pd.Series) -> pd.Series:
-        def one(entries, o: float) -> float:
-            if o is not None and o != 0:
-                return o
+    def rounded(parts: pd.Series) -> pd.Series:
+        def one(entries) -> float:
             total = sum(((p["__a"] << 2 * _PIECE) + (p["__b"] << _PIECE) + p["__c"]) << p["__e"] - 53 - _LEAST for p in entries)
             try:
                 return total / (1 << -_LEAST)  # rounds once
             except OverflowError:
                 return math.inf if total > 0 else -math.inf
 
-        return pd.Series([one(p, o) for p, o in zip(parts, odd, strict=True)], index=parts.index, dtype=float)
+        return pd.Series([one(p) for p in parts], index=parts.index, dtype=float)
 
     return rounded
 
