@@ -147,7 +147,9 @@ class ItemIndex:
                 inside[lo] += 1
                 inside[hi + 1] -= 1
             starts = np.flatnonzero(np.cumsum(inside) > 0)
-            for part in np.array_split(starts, len(starts) // 4096 + 1):
+            # in runs without gaps, so that fingerprints take memory for the words they are made of alone
+            near = np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1)
+            for part in (p for run in near for p in np.array_split(run, len(run) // 4096 + 1)):
                 counted: dict[int, Counter] = {}
                 for w, i, d in self.near(simhashes(h, part, n), n):
                     at_word = int(part[w])

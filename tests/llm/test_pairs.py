@@ -342,3 +342,40 @@ def test_passages_miss_risk():
 
     need = passages.least_matches(80, passages.HASHES, passages.RISK)
     assert sum(comb(passages.HASHES, k) * 0.8**k * 0.2 ** (passages.HASHES - k) for k in range(need)) <= 0.002
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    """Items at both ends of a text of three million words."""
+    r = random.Random(15)
+    items = [(0, prose(r, 40, 10**6)), (1, prose(r, 40, 10**6))]
+    filler = prose(r, 1000, 10**6)
+    text = items[0][1] + " " + " ".join([filler] * 3000) + " " + items[1][1]
+    rows = [(1, text), (2, filler), (3, ""), (4, None)]
+    out = decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["start"]) for x in out) == [(1, 0, 0), (1, 1, 3_000_040)]
+
+
+def test_decontamination_query_by_all_windows(spark):
+    """The query's rows on the smallest tables, against the exact similarity of every window of an item's size."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontaminate.ItemIndex(items)
+    from arrayloom.llm import registry
+
+    got = {(x["doc_id"], x["item_id"]) for x in registry.op5_simhash_decontamination(spark, SF).collect()}
+    want = set()
+    for d in docs:
+        raw = np.frombuffer((d["text"] or "").lower().encode(), np.uint8)
+        h, sizes, _ = index.hasher.sized_words(raw, np.array([0, len(raw)]))
+        shingles_of = {x for x, _ in decontaminate.weighted(h, sizes)} if len(h) else set()
+        for k, item in enumerate(index.ids):
+            n = int(index.n[k])
+            # without a shingle in common the similarity is zero
+            if not shingles_of & {x for x, _ in index.counts[k]}:
+                continue
+            windows = [(h, sizes)] if len(h) < n else [(h[i : i + n], sizes[i : i + n]) for i in range(len(h) - n + 1)]
+            if any(decontaminate.similarity(decontaminate.weighted(*w), index.counts[k]) >= 0.8 for w in windows):
+                want.add((d["doc_id"], item))
+    assert got == want and want
