@@ -379,3 +379,58 @@ def test_decontamination_query_by_all_windows(spark):
             if any(decontaminate.similarity(decontaminate.weighted(*w), index.counts[k]) >= 0.8 for w in windows):
                 want.add((d["doc_id"], item))
     assert got == want and want
+
+
+def test_passages_query_by_all_pairs_of_documents(spark):
+    """The query's documents on the smallest tables, against every pair of documents compared whole."""
+    import numpy as np
+
+    from arrayloom.llm import registry
+    from arrayloom.llm.decontaminate import PUNCTUATION
+    from arrayloom.llm.wordhash import ByteRules, WordHasher
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    hasher, tokens = WordHasher(ByteRules(drop=PUNCTUATION)), {}
+    for d in docs:
+        raw = np.frombuffer((d["text"] or "").lower().encode(), np.uint8)
+        s, _ = passages.tokens_of(hasher, raw, np.array([0, len(raw)]))
+        tokens[d["doc_id"]] = s.astype(np.uint32)
+    sets = {i: set(s.tolist()) for i, s in tokens.items()}
+    want = set()
+    for a in tokens:
+        for b in tokens:
+            if a < b and len(sets[a] & sets[b]) >= 20 and passages.agree(tokens[a], tokens[b], 46, 80):
+                want |= {a, b}
+    got = {x["doc_id"] for x in registry.op2_compact_windows(spark, SF).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 20
+
+
+def test_lines_of_documents_by_all_pairs(spark):
+    """The lines of up to 200 characters of the smallest tables that go, against all pairs by edit similarity."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    body = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").where("text is not null")
+    short = lines.split_lines(body, 5).where(F.length("t") <= 200)
+    rows = short.select("doc_id", "row", "line", "t").collect()
+    texts = sorted({x["t"] for x in rows})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x AS SELECT unnest(range(len($t))) AS i, unnest($t) AS t", {"t": texts})
+    near = con.execute(
+        "SELECT a.i, b.i FROM x a JOIN x b ON a.i < b.i AND abs(length(a.t) - length(b.t)) <= greatest(length(a.t), length(b.t)) // 5 "
+        "WHERE levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t)) // 5"
+    ).fetchall()
+    u = Union(range(len(texts)))
+    for a, b in near:
+        u.join(a, b)
+    first, at = {}, {t: u.find(i) for i, t in enumerate(texts)}
+    for x in rows:
+        k = at[x["t"]]
+        first[k] = min(first.get(k, (x["doc_id"], x["row"], x["line"])), (x["doc_id"], x["row"], x["line"]))
+    want = {(x["row"], x["line"]) for x in rows if first[at[x["t"]]] != (x["doc_id"], x["row"], x["line"])}
+    own = spark.createDataFrame([(x["doc_id"], x["row"], x["t"]) for x in rows], "doc_id long, row long, text string")
+    by_line = own.groupBy("doc_id", "row").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    made = {x["row"]: x["text"].split("\n") for x in by_line.collect()}
+    gone = {(x["row"], made[x["row"]][k]) for x in lines.decide(by_line, Scratch(spark, "t"), 5, 80).collect() for k in x["gone"]}
+    said = {(x["row"], x["t"]) for x in rows if (x["row"], x["line"]) in want}
+    assert len(gone & said) >= 0.97 * len(said) and len(gone - said) <= 0.03 * len(said) and len(said) > 20
