@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm import graph
-from arrayloom.llm.common import Scratch, maybe_among
+from arrayloom.llm.common import Scratch, maybe_among, surely_not_among
 from arrayloom.llm.wordhash import WordHasher, as_long, chunks, distinct, mix, shingles, utf8
 
 COORDINATES = 64
@@ -260,6 +260,13 @@ def sketches_keys(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its class."""
-    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_column] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose document stands for its class.
+
+    Rows travel as one column, so that no name can clash; those whose document
+    is in no class of several, by a sketch, aren't shuffled.
+    """
+    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = Scratch(docs.sparkSession, "minhash-gone").save(gone, "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").cast("long").alias("id"))
+    kept = surely_not_among(rows, "id", gone).unionAll(maybe_among(rows, "id", gone).join(gone, "id", "left_anti").select("row", "id"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -197,8 +197,40 @@ def test_gathered_tables_go_and_blocks_are_sent(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     with gathered() as made:
         n = minhash.keep_one(docs).count()
-    assert 0 < n < docs.count() and len(made) == 1
-    base = made[0].base.removeprefix("file:")
+    assert 0 < n < docs.count() and made
+    base = next(s for s in made if "gone" not in s.base).base.removeprefix("file:")
     assert os.path.isdir(base)
-    made[0].release()
+    for s in made:
+        s.release()
     assert not os.path.exists(base)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls, empty texts, ties, repeated rows, clashing names; a table without rows and one without n_chars."""
+    import corpus_pipeline
+
+    good = (
+        "The council met on Monday to look at the plans for the new bridge. It was the third time that the plans were on the table. "
+        "People from both sides of the river came to speak. They said that the old bridge is too narrow for the buses. "
+        "The mayor answered that work could begin in spring. Nobody in the room had any more questions after that."
+    )
+    other = (
+        "Rain fell for most of the week in the valley, and the farmers were glad of it. After a dry year their wells had run low. "
+        "Some had already sold a part of their cattle. Now the grass is green again, and the streams carry water down to the mill. "
+        "If it stays like this until June, the harvest could be the best for a long time."
+    )
+    names = ["row", "gone", "d", "h", "kept", "key", "label", "words", "__row", "__gone", "n_words", "quality", "part", "counted"]
+    rows = [(1, good), (2, good), (2, good), (3, None), (4, ""), (None, other), (5, " \n\t\n"), (6, good + " " + other)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names)
+    full = spark.createDataFrame([(i, t, None, None, None, *range(len(names))) for i, t in rows], schema)
+    for docs in (full, full.limit(0), full.drop("n_chars")):
+        last = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = Scratch(spark, "odd").save(stage(spark, last, SF), name)
+            if name != "pack":
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+                last = out
+        ids = sorted(r["doc_id"] or 0 for r in last.select("doc_id").collect())
+        # document 2 repeats document 1
+        assert ids == ([] if docs.limit(1).count() == 0 else [0, 1, 6]), (ids, docs.columns)
+        assert out.count() >= len(ids)
