@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.operators.blocks import BLOCK, block_of, with_neighbours
+from arrayloom.operators.blocks import BLOCK, with_neighbours
 
 #: Taps beyond which a block is convolved as a whole instead of by window columns.
 WIDE = 64
@@ -63,7 +63,3 @@ def convolved(df: DataFrame, taps: Sequence[float], center: int, n: int, value:
         return pa.table({"idx": at[mine], out: y[mine]})
 
     return rows.groupBy("block").applyInArrow(block, f"idx bigint, {out} double")
-
-
-def edge_block(n: int, size: int = BLOCK) -> Column:
-    return block_of(F.lit(n), size)

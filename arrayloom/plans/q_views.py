@@ -200,3 +200,86 @@ def nbody(spark, d):
 @query("SELECT CAST(o_orderkey AS BIGINT) AS idx, o_orderkey * 2 AS v FROM orders")
 def vector_from_expression(spark, d):
     return orders(spark, d).select("idx", (F.col("idx") * 2).alias("v"))
+
+
+@query(f"SELECT idx, v FROM {V} UNION ALL SELECT CAST(n + r.range AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT count(*) AS n FROM events), range(10) r")
+def vector_grown(spark, d):
+    """New positions hold zero."""
+    return vectors.resized(values(spark, d), size(spark, d) + 10)
+
+
+@query(f"SELECT idx, v FROM {V} WHERE idx < (SELECT count(*) // 2 FROM events)")
+def vector_shrunk(spark, d):
+    return vectors.resized(values(spark, d), size(spark, d) // 2)
+
+
+@query(f"SELECT idx, CAST(0 AS BIGINT) AS v FROM {V}")
+def vector_cleared(spark, d):
+    return vectors.cleared(values(spark, d))
+
+
+@query(f"SELECT a.idx, b.v AS a, a.v AS b FROM {V} a JOIN (SELECT idx, -v AS v FROM {V}) b USING (idx)")
+def vector_swap(spark, d):
+    """Two vectors change places: a renaming."""
+    v = values(spark, d).select("idx", F.col("v").alias("a"), (-F.col("v")).alias("b"))
+    return v.select("idx", F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+@query(f"""
+SELECT idx // 10 AS line, printf('%6d: %s', CAST(idx // 10 * 10 AS INTEGER), string_agg(printf('%12.4g', CAST(v AS DOUBLE)), ' ' ORDER BY idx)) AS text
+FROM (SELECT idx, v % 1000 AS v FROM {V}) GROUP BY idx // 10
+""")
+def vector_printed(spark, d):
+    v = values(spark, d).withColumn("v", (F.col("v") % 1000).cast("double"))
+    lines = vectors.text_lines(v)
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line bigint, text string")
+
+
+@query("""
+SELECT * FROM (VALUES ('column beyond the grid', true), ('grid as it is', false), ('row beyond the grid', true), ('sizes differ', true), ('sizes agree', false)) t(attempt, refused)
+""")
+def bounds_checked(spark, d):
+    """What lies outside of a vector is refused while the plan is built."""
+    v, shape = values(spark, d), grid_shape(spark, d)
+    half = v.where(F.col("idx") < size(spark, d) // 2)
+    attempts = {
+        "row beyond the grid": lambda: views.sliced(v, shape, shape[0]),
+        "column beyond the grid": lambda: views.sliced(v, shape, None, 8),
+        "grid as it is": lambda: views.sliced(v, shape, shape[0] - 1, 7),
+        "sizes differ": lambda: vectors.properties(v, half),
+        "sizes agree": lambda: vectors.properties(v, v),
+    }
+
+    def refused(attempt) -> bool:
+        try:
+            attempt()
+        except (ValueError, IndexError):
+            return True
+        return False
+
+    return spark.createDataFrame([(k, refused(f)) for k, f in attempts.items()], "attempt string, refused boolean")
+
+
+@query("SELECT count(*) AS size, CAST(2 AS INTEGER) AS components, 'bigint,double' AS types FROM events")
+def expression_properties(spark, d):
+    e = table(spark, d, "events")
+    a = vectors.vector(e, "event_id", a="user_id")
+    b = vectors.vector(e, "event_id", b="value")
+    p = vectors.properties(a, b)
+    return spark.createDataFrame([(p.size, p.components, ",".join(p.types.values()))], "size bigint, components int, types string")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(2 * value + 1), 4) AS total FROM events GROUP BY 1, 2")
+def streaming_windows(spark, d):
+    """Events as a stream: a projection, then sums by day and type, batch by batch into a table."""
+    from arrayloom.sources.scratch import folder
+    from arrayloom.streaming import micro_batches
+
+    at = folder(spark, "stream")
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events[.]parquet")  # a pattern, as the table may be one file
+    made = micro_batches.elementwise(stream, y=2 * F.col("value") + 1)
+    micro_batches.to_table(made, f"{at}/rows", f"{at}/state")
+    rows = spark.read.parquet(f"{at}/rows")
+    by_day = micro_batches.windowed_fold(rows, "ts", "1 day", "1 day", ["event_type"], n=F.count("*"), total=F.sum("y"))
+    return by_day.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -5,18 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written once under spark.checkpoint.dir and read from there.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir.
 
-    What follows reads files, so it costs nothing to compute again and a lost
-    executor takes nothing with it. Where the setting is absent, a session on
-    one machine (local master, as in tests) gets a temporary folder; on a
-    cluster that is an error.
+    Where the setting is absent, a session on one machine (local master, as in
+    tests) gets a temporary folder; on a cluster that is an error, as executors
+    would write to their own disks.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
@@ -24,6 +22,15 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="arrayloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    """``df`` written once under spark.checkpoint.dir and read from there.
+
+    What follows reads files, so it costs nothing to compute again and a lost
+    executor takes nothing with it.
+    """
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ until positions change.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,28 @@ def _by_part():
     return Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
 
 
+@dataclass(frozen=True)
+class Properties:
+    """What an expression over vectors knows of itself: positions, components and their types."""
+
+    size: int
+    types: dict[str, str]
+
+    @property
+    def components(self) -> int:
+        return len(self.types)
+
+
+def properties(*vectors: DataFrame) -> Properties:
+    """Of vectors in one expression: sizes must agree, but a vector of one position fits any."""
+    sizes = [v.count() for v in vectors]
+    large = {n for n in sizes if n != 1}
+    if len(large) > 1:
+        raise ValueError(f"vectors of {' and '.join(map(str, sorted(large)))} positions")
+    types = {c: t for v in vectors for c, t in v.dtypes if c != "idx"}
+    return Properties(max(sizes, default=0), types)
+
+
 def same_size(a: DataFrame, b: DataFrame) -> None:
     """Raise ValueError unless both have as many positions."""
     m, n = a.count(), b.count()
