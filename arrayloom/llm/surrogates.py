@@ -69,17 +69,22 @@ _FORMS = [
     ("secret", r"(?:(?<=token)|(?<=secret)|(?<=passwd)|(?<=password)|(?<=api_key)|(?<=apikey)|(?<=api-key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{12,}"),
     ("secret", r"\b(?:AKIA|ghp_|gho_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"),
-    ("birth", r"(?:(?<=[Bb]orn )|(?<=[Bb]orn on )|(?<=DOB )|(?<=DOB: )|(?<=[Bb]irth: )|(?<=[Bb]irth )|(?<=geboren am )|(?<=née le )|(?<=né le )|(?<=nacido el )|(?<=nacida el ))(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)"),
-    ("house", r"(?<![\w.,])\d{1,5}(?= [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b)|(?<=stra\u00dfe )\d{1,4}\b|(?<=gasse )\d{1,4}\b|(?<=weg )\d{1,4}\b"),
     ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w.,+/-])0\d{2,4}[ /-]\d{5,8}(?![\w/-])"),
     ("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])"),
 ]
+#: Rarer forms, each looked for only where a text holds one of some words.
+_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])")
+_BIRTH_WORDS = ("orn ", "DOB", "irth", "geboren am ", "n\u00e9e le ", "n\u00e9 le ", "nacid")
+_BIRTH = re.compile(r"(?:[Bb]orn (?:on )?|DOB:? |[Bb]irth:? |geboren am |n\u00e9e? le |nacid[oa] el )((?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d))")
+_HOUSE = re.compile(r"(?<![\w.,])\d{1,5}(?= [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b)|(?<=stra\u00dfe )\d{1,4}\b|(?<=gasse )\d{1,4}\b|(?<=weg )\d{1,4}\b")
 _FORM = re.compile("|".join(f"(?P<g{i}>{p})" for i, (_, p) in enumerate(_FORMS)))
 _GIVEN = "|".join(sorted((x for names in GIVEN.values() for n in names for x in (n, n.upper())), key=len, reverse=True))
-_HEAD = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<cue>{'|'.join(CUES)})|(?P<given>{_GIVEN})\b)")
+_HEAD = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<given>{_GIVEN})\b)")
+_HEAD_OR_CUE = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?|(?P<cue>{'|'.join(CUES)})|(?P<given>{_GIVEN})\b)")
+#: What every phrase before a name holds.
+_CUE_WORDS = ("name is", "ame:", "igned by", "ontact:", "ein Name ist", "e m'appelle", "e llamo", "еня зовут", "ε λένε")
 #: A street's name is found by the word after it or by its ending.
 _STREET = re.compile(r"(?<=\d )(?P<first>[A-Z][a-z]+)(?= (?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square)\b)|\b(?P<last>[A-ZÄÖÜ][a-zäöü]+?)(?=(?:stra\u00dfe|gasse|weg) \d)")
 #: What follows a title or a given name: an initial or one more name.
@@ -88,8 +93,8 @@ _MENTION = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*|[^\W\d_]['’][^\W\d_]{2,}")
 #: The most names and initials after a title or a given name.
 PARTS = 6
 _HINT = re.compile(r"[@\d]")
-_MAY_NAME = re.compile("|".join([*TITLES, *CUES, _GIVEN]))
-_MAY_STREET = re.compile(r"Street|Road|Avenue|Lane|Drive|Boulevard|Court|Square|stra\u00dfe|gasse|weg")
+_MAY_NAME = re.compile("|".join([*TITLES, _GIVEN]))
+_STREET_WORDS = ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "Court", "Square", "stra\u00dfe", "gasse", "weg")
 #: Special IPv4 networks (RFC 6890): hosts stay in them.
 _NETWORKS = [ipaddress.IPv4Network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4".split()]
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -312,7 +317,7 @@ def script_of(name: str) -> str:
 def _full_names(text: str):
     """(kind, start, end) of the names that a title or a listed given name begins."""
     end = 0
-    for m in _HEAD.finditer(text):
+    for m in (_HEAD_OR_CUE if _has(text, _CUE_WORDS) else _HEAD).finditer(text):
         if m.start() < end:
             continue
         run = [("name", *m.span("given"))] if m["given"] else []
@@ -334,22 +339,43 @@ def _full_names(text: str):
         end = run[-1][2]
 
 
+def _has(text: str, words: tuple[str, ...]) -> bool:
+    return any(w in text for w in words)
+
+
+def _forms(text: str) -> list[tuple[str, int, int]]:
+    found = []
+    if "::" in text or text.count(":") >= 7:
+        found += [("ipv6", *m.span()) for m in _IPV6.finditer(text)]
+    if _has(text, _BIRTH_WORDS):
+        found += [("birth", *m.span(1)) for m in _BIRTH.finditer(text)]
+    if _has(text, _STREET_WORDS):
+        found += [("house", *m.span()) for m in _HOUSE.finditer(text)]
+    rare = found[:]
+    if _HINT.search(text) or "_" in text or "-" in text:
+        for m in _FORM.finditer(text):
+            if not any(a < m.end() and m.start() < b for _, a, b in rare):
+                found.append((_FORMS[int(m.lastgroup[1:])][0], m.start(), m.end()))
+    return found
+
+
+def _may_name(text: str) -> bool:
+    return _MAY_NAME.search(text) is not None or _has(text, _CUE_WORDS)
+
+
 def entities(text: str):
     """(kind, start, end) of the entities of a text, in order, none overlapping.
 
     Names that were found whole are found again wherever one of their words
     stands capitalised in the same text.
     """
-    found = []
-    if _HINT.search(text) or "_" in text or "-" in text:
-        for m in _FORM.finditer(text):
-            found.append((_FORMS[int(m.lastgroup[1:])][0], m.start(), m.end()))
-    if _MAY_STREET.search(text):
+    found = _forms(text)
+    if _has(text, _STREET_WORDS):
         taken = [(a, b) for _, a, b in found]
         for m in _STREET.finditer(text):
             if not any(a < m.end() and m.start() < b for a, b in taken):
                 found.append(("street", *m.span()))
-    if _MAY_NAME.search(text):
+    if _may_name(text):
         inside = bytearray(len(text))
         for _, a, b in found:
             inside[a:b] = b"\1" * (b - a)
@@ -371,7 +397,7 @@ def entities(text: str):
 
 def surnames(text: str) -> set[str]:
     """The surnames and streets of a text, whose surrogates are drawn."""
-    if not _MAY_NAME.search(text) and not _MAY_STREET.search(text):
+    if not _may_name(text) and not _has(text, _STREET_WORDS):
         return set()
     return {text[a:b].casefold() for kind, a, b in entities(text) if kind in ("surname", "street")}
 
