@@ -434,3 +434,15 @@ def test_lines_of_documents_by_all_pairs(spark):
     gone = {(x["row"], made[x["row"]][k]) for x in lines.decide(by_line, Scratch(spark, "t"), 5, 80).collect() for k in x["gone"]}
     said = {(x["row"], x["t"]) for x in rows if (x["row"], x["line"]) in want}
     assert len(gone & said) >= 0.97 * len(said) and len(gone - said) <= 0.03 * len(said) and len(said) > 20
+
+
+def test_lines_of_any_length_by_edit_similarity(spark):
+    """Long lines with an error in every third word are alike; their words in another order aren't, nor does length matter."""
+    r = random.Random(17)
+    for n in (300, 3000):
+        w = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+        typed = [x[:3] + "0" + x[4:] if i % 3 == 0 else x for i, x in enumerate(w)]
+        turned = w[n // 2 :] + w[: n // 2]
+        pairs = [(" ".join(w), " ".join(typed), True), (" ".join(w), " ".join(turned), False), (" ".join(w), " ".join(w[1:]), True)]
+        df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+        assert all(x["want"] == x["got"] for x in df.select("want", lines.similar(F.col("a"), F.col("b"), 80).alias("got")).collect())
