@@ -446,3 +446,24 @@ def test_lines_of_any_length_by_edit_similarity(spark):
         pairs = [(" ".join(w), " ".join(typed), True), (" ".join(w), " ".join(turned), False), (" ".join(w), " ".join(w[1:]), True)]
         df = spark.createDataFrame(pairs, "a string, b string, want boolean")
         assert all(x["want"] == x["got"] for x in df.select("want", lines.similar(F.col("a"), F.col("b"), 80).alias("got")).collect())
+
+
+def test_lines_alike_with_few_common_words(spark, monkeypatch):
+    """Lines of few common words that share a band are linked if their characters are alike, in lists of two, short and long ones."""
+    monkeypatch.setattr(graph, "SHORT", 4)
+    r = random.Random(18)
+    for size in (2, 12):
+        rare = " ".join(f"zq{i}" for i in range(4))
+        word = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(16)] for _ in range(size // 2)]
+        rows = [f"{rare} {' '.join(w)}" for w in word] + [f"{rare} {' '.join(x[:4] + '7' + x[5:] for x in w)}" for w in word]
+        texts = [x.split(" ") for x in rows]
+        one = {tuple(t) for t in texts}
+        assert len(one) == size and all(len(set(a) & set(b)) / len(set(a) | set(b)) < 0.4 for a in texts for b in texts if a != b)
+        monkeypatch.setattr(lines, "distinct_lines", _with_one_band(lines.distinct_lines) if size == 2 else lines.distinct_lines)
+        got = {x["doc_id"] for x in lines.dedup_lines(frame(spark, list(enumerate(rows)))).collect() if x["__n_gone"]}
+        assert got == set(range(size // 2, size))
+
+
+def _with_one_band(made):
+    """The distinct lines as if all shared one band, and no other."""
+    return lambda rows, weights: made(rows, weights).withColumn("keys", F.array(F.lit(1).cast("long")))
