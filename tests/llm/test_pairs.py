@@ -464,6 +464,34 @@ def test_lines_alike_with_few_common_words(spark, monkeypatch):
         assert got == set(range(size // 2, size))
 
 
+def test_passages_travel_to_few_blocks(spark, monkeypatch):
+    """Runs of one cluster aren't copied for many small blocks, and the blocks' size doesn't change the result."""
+    monkeypatch.setattr(graph, "SHORT", 2)
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    r = random.Random(19)
+    core = [prose(r, 34, 10**6) for _ in range(2)]
+    rows = [f"{prose(r, 30, 10**6)} {core[i % 2]} {prose(r, 30, 10**6)}" for i in range(50)]
+    rows += [edited(r, x, 2) for x in rows[:4]]
+    seen, made = [], passages.verify_blocks
+
+    def recorded(blocks, nodes, t, percent):
+        seen.extend(blocks.collect())
+        return made(blocks, nodes, t, percent)
+
+    monkeypatch.setattr(passages, "verify_blocks", recorded)
+
+    def result():
+        return sorted((x["doc_id"], x["class_doc"]) for x in passages.repeated_passages(frame(spark, list(enumerate(rows)))).collect())
+
+    large = result()
+    nodes = {x["node"] for x in seen}
+    assert len(nodes) > 16 and len(seen) <= 2 * len(nodes)
+    seen.clear()
+    monkeypatch.setattr(passages, "LARGER", 1)
+    assert large == result() and len(large) >= 8
+    assert len(seen) > 2 * len(nodes)
+
+
 def _with_one_band(made):
     """The distinct lines as if all shared one band, and no other."""
     return lambda rows, weights: made(rows, weights).withColumn("keys", F.array(F.lit(1).cast("long")))
