@@ -464,6 +464,35 @@ def test_lines_alike_with_few_common_words(spark, monkeypatch):
         assert got == set(range(size // 2, size))
 
 
+def test_families_of_lines_are_compared_by_representatives(spark, monkeypatch):
+    """Two families of near copies in one list take comparisons in proportion to their members; a line near to one member alone is linked."""
+    r = random.Random(20)
+
+    def word(n=9):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    rows = []
+    for _ in range(2):
+        base = [word() for _ in range(40)]
+        rows += [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(40)]
+    # six words from a member of the second family, and more than 20 % from all that differ in a seventh
+    far = rows[-1].split(" ")
+    rows.append(" ".join([word() if i in range(5, 12) else x for i, x in enumerate(far)]))
+    monkeypatch.setattr(lines, "distinct_lines", _with_one_band(lines.distinct_lines))
+    n, save = [], Scratch.save
+
+    def counted(self, df, name="t"):
+        table = save(self, df, name)
+        if name == "pairs":
+            n.append(table.count())
+        return table
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {x["doc_id"] for x in lines.dedup_lines(frame(spark, list(enumerate(rows)))).collect() if x["__n_gone"]}
+    assert got == set(range(1, 81)) - {40}
+    assert 80 <= sum(n) <= 4 * len(rows)
+
+
 def test_passages_travel_to_few_blocks(spark, monkeypatch):
     """Runs of one cluster aren't copied for many small blocks, and the blocks' size doesn't change the result."""
     monkeypatch.setattr(graph, "SHORT", 2)
