@@ -521,6 +521,31 @@ def test_passages_travel_to_few_blocks(spark, monkeypatch):
     assert len(seen) > 2 * len(nodes)
 
 
+def test_lists_that_overlap_in_a_chain_arent_compared_as_a_whole(spark, monkeypatch):
+    """Long lists of one leader are a cluster; members of one list meet in a block, and each travels to few."""
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    lists = [range(20 * k, 20 * k + 30) for k in range(12)]
+    postings = spark.createDataFrame([(k, x) for k, members in enumerate(lists) for x in members], "key long, node long")
+    sizes = spark.createDataFrame([(x, 1) for x in range(250)], "node long, size long")
+    met = []
+
+    def none(rows):
+        return spark.createDataFrame([], "a long, b long")
+
+    def blocks(rows):
+        met.extend(rows.collect())
+        return none(rows)
+
+    graph.link_lists(postings, sizes, none, blocks, Scratch(spark, "t"), merge="leader").count()
+    assert 0 < len(met) <= 12 * 30 * 2 * 2
+    inside: dict[tuple, list] = {}
+    for x in met:
+        inside.setdefault((x["cluster"], x["x"], x["y"]), []).append((x["head"], x["node"], x["label"]))
+    pairs = {frozenset((a, b)) for rows in inside.values() for h, a, la in rows if h for g, b, lb in rows if not g and la != lb}
+    for members in lists:
+        assert all(frozenset((a, b)) in pairs for a in members[1:] for b in members[1:] if a < b)
+
+
 def _with_one_band(made):
     """The distinct lines as if all shared one band, and no other."""
     return lambda rows, weights: made(rows, weights).withColumn("keys", F.array(F.lit(1).cast("long")))
