@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,6 +547,54 @@ def test_lists_that_overlap_in_a_chain_arent_compared_as_a_whole(spark, monkeypa
         assert all(frozenset((a, b)) in pairs for a in members[1:] for b in members[1:] if a < b)
 
 
+def test_windows_are_made_once(spark, monkeypatch):
+    r = random.Random(23)
+    core = prose(r, 60, 10**6)
+    rows = frame(spark, [(i, f"{prose(r, 40, 10**6)} {core if i % 2 else ''} {prose(r, 40, 10**6)}") for i in range(20)])
+    counts, made = [], passages.windows
+
+    def counted(texts, functions, t):
+        n = spark.sparkContext.accumulator(0)
+        counts.append(n)
+
+        def count(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        w = made(texts, functions, t)
+        return w.mapInArrow(count, w.schema)
+
+    monkeypatch.setattr(passages, "windows", counted)
+    assert len(passages.repeated_passages(rows).collect()) == 10
+    t = 50 - passages.K + 1
+    first = passages.HASHES - passages.least_matches(80, passages.HASHES, passages.RISK) + 1
+    assert counts[0].value == made(rows.select(F.col("doc_id").alias("row"), "text"), range(first), t).count()
+
+
+def test_blocks_compare_only_rows_with_enough_common_tokens_side_by_side():
+    r = np.random.default_rng(5)
+    t, percent = 46, 80
+    need = -(-2 * percent * t // (100 + percent))
+    base = r.integers(0, 1 << 32, 400, dtype=np.uint32)
+    tokens = [base]
+    for k in range(60):
+        other = r.integers(0, 1 << 32, 400, dtype=np.uint32)
+        if k % 3 == 0:  # common tokens all over, but nowhere enough of them
+            other[::4] = base[::4]
+        elif k % 3 == 1:
+            lo, at = r.integers(0, 350, 2)
+            other[at : at + 50] = base[lo : lo + 50]
+            other[r.integers(0, 400, k // 4)] = 7
+        tokens.append(other)
+    firsts, rest = np.arange(4), np.arange(len(tokens))
+    found = {(i, j) for i, _, js in passages.block_pairs(tokens, firsts, rest, np.arange(len(tokens)), t, need) for j in js.tolist()}
+    linked = {(i, j) for i in range(4) for j in range(len(tokens)) if i != j and passages.agree(tokens[i], tokens[j], t, percent)}
+    spread = [j for j in range(1, len(tokens), 3) if len(np.intersect1d(base, tokens[j])) >= need]
+    assert linked and linked <= found
+    assert len(spread) == 20 and not any((0, j) in found for j in spread)
+
+
 def _with_one_band(made):
     """The distinct lines as if all shared one band, and no other."""
     return lambda rows, weights: made(rows, weights).withColumn("keys", F.array(F.lit(1).cast("long")))
