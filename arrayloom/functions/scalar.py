@@ -72,6 +72,11 @@ def if_else(c, a, b) -> Column:
 # NaN-aware comparisons: false where an operand is NaN
 
 
+def isnan(x) -> Column:
+    """Null for null, as in SQL, where Spark says false."""
+    return F.when(_c(x).isNotNull(), F.isnan(x))
+
+
 def _ordered(x, y) -> Column:
     return ~F.isnan(x) & ~F.isnan(y)
 
@@ -109,7 +114,7 @@ def isordered(x, y) -> Column:
 
 
 def isunordered(x, y) -> Column:
-    return F.isnan(x) | F.isnan(y)
+    return isnan(x) | isnan(y)
 
 
 def isfinite(x) -> Column:
@@ -214,13 +219,17 @@ def sincos(x) -> Column:
 # least, greatest, blending
 
 
+def _both(x, y, value: Column) -> Column:
+    return F.when(_c(x).isNotNull() & _c(y).isNotNull(), value)
+
+
 def fmax(x, y) -> Column:
-    """The larger; a NaN gives way to the other."""
-    return F.greatest(F.nanvl(x, y), F.nanvl(y, x))
+    """The larger; a NaN gives way to the other, but a null is the result."""
+    return _both(x, y, F.greatest(F.nanvl(x, y), F.nanvl(y, x)))
 
 
 def fmin(x, y) -> Column:
-    return F.least(F.nanvl(x, y), F.nanvl(y, x))
+    return _both(x, y, F.least(F.nanvl(x, y), F.nanvl(y, x)))
 
 
 def maxmag(x, y) -> Column:
@@ -443,7 +452,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "fdim": fdim, "floor": floor, "fma": fma, "fmax": fmax, "fmin": fmin, "fmod": mod, "fract": fract, "frexp": frexp, "hadd": hadd,
     "hypot": F.hypot, "ilogb": ilogb, "isequal": isequal, "isfinite": isfinite, "isgreater": isgreater,
     "isgreaterequal": isgreaterequal, "isinf": isinf, "isless": isless, "islessequal": islessequal, "islessgreater": islessgreater,
-    "isnan": F.isnan, "isnormal": isnormal, "isnotequal": isnotequal, "isordered": isordered, "isunordered": isunordered,
+    "isnan": isnan, "isnormal": isnormal, "isnotequal": isnotequal, "isordered": isordered, "isunordered": isunordered,
     "ldexp": ldexp, "log": log, "log10": log10, "log1p": log1p, "log2": log2, "logb": logb, "mad": fma, "mad24": mad24,
     "mad_hi": mad_hi, "mad_sat": mad_sat, "max": fmax, "maxmag": maxmag, "min": fmin, "minmag": minmag, "mix": mix, "modf": modf,
     "mul24": mul24, "mul_hi": mul_hi, "nan": nan, "__popc": popcount, "__popcll": popcount, "popcount": popcount, "pow": F.pow,
