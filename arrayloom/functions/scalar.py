@@ -137,7 +137,7 @@ def signbit(x) -> Column:
 
 
 def _log(f: Callable, zero: float = 0.0) -> Callable:
-    return lambda x: F.when(_c(x) > zero, f(x)).when(_c(x) == zero, F.lit(-INF)).otherwise(F.lit(NAN))
+    return lambda x: F.when(_c(x) > zero, f(x)).when(_c(x) == zero, F.lit(-INF)).when(_c(x) < zero, F.lit(NAN))
 
 
 log, log2, log10, log1p = _log(F.log), _log(F.log2), _log(F.log10), _log(F.log1p, -1.0)
@@ -169,6 +169,17 @@ def round_(x) -> Column:
     return F.signum(x) * floor(F.abs(x) + 0.5)
 
 
+def round_to(x, digits: int) -> Column:
+    """So many decimals by arithmetic on doubles, as C programs round.
+
+    The product with the power of ten is rounded too, so numbers beyond the
+    precision may change by their last bit, which ``F.round`` (decimal) leaves.
+    """
+    power = 10.0**digits
+    scaled = _c(x).cast("double") * power
+    return F.when(F.abs(scaled) < INF, F.round(scaled, 0) / power).otherwise(x)
+
+
 def fract(x) -> Column:
     """struct(fraction, whole)."""
     return F.struct((_c(x) - floor(x)).alias("fraction"), floor(x).alias("whole"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
 
@@ -111,6 +112,19 @@ def _nextafter(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.to_numpy(float), y.to_numpy(float)), index=x.index)
 
 
+def _power_of_two(x: float) -> float:
+    try:
+        return math.pow(2.0, x)
+    except OverflowError:
+        return math.inf
+
+
+@arrow_udf(DoubleType())
+def exp2(x: pa.Array) -> pa.Array:
+    """2 ** x by the C library, whose last bit is right where the JVM's power may be one off."""
+    return pa.array([None if v is None else _power_of_two(v) for v in x.to_pylist()], pa.float64())
+
+
 def reinterpret(x: Column, source: str, target: str) -> Column:
     """The bits of a number read as another type, by numpy type names of one width."""
     kinds = {"f8": DoubleType(), "f4": FloatType(), "i8": LongType(), "i4": IntegerType(), "i2": ShortType(), "i1": ByteType()}

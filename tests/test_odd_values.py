@@ -31,3 +31,9 @@ def events_of(values):
 def test_classes_of_missing_values(against_sql):
     got, want = against_sql("fp_classify", events=events_of([None] * 5 + [0.0] * 5 + [2.5] * 5 + [5e-324] * 5))
     assert got == want
+
+
+def test_powers_beyond_four_decimals_and_missing_values(against_sql):
+    """2 ** 40.6 and 2 ** 47.6 have fewer than four decimals as doubles; the SQL rounds their product with 10000."""
+    got, want = against_sql("logarithms_and_powers", events=events_of([None, None, 406.6, 0.0, 0.0, 476.4, 0.5, 5e-324]))
+    assert got == want
