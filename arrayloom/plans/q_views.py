@@ -231,8 +231,7 @@ FROM (SELECT idx, v % 1000 AS v FROM {V}) GROUP BY idx // 10
 """)
 def vector_printed(spark, d):
     v = values(spark, d).withColumn("v", (F.col("v") % 1000).cast("double"))
-    lines = vectors.text_lines(v)
-    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line bigint, text string")
+    return vectors.text_table(v)
 
 
 @query("""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,8 +143,25 @@ def aligned(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
     return a.join(b, "idx")
 
 
-def text_lines(df: DataFrame, value: str = "v", per_line: int = 10) -> list[str]:
-    """A vector as text, ``per_line`` values a line, each with its first position."""
+def text_table(df: DataFrame, value: str = "v", per_line: int = 10) -> DataFrame:
+    """(line, text): a vector as text, ``per_line`` values a line, each line with its first position.
+
+    Lines are made where their values are; nothing comes to the driver. Missing
+    values are left out, and a line of nothing else is null.
+    """
     line = F.floor(F.col("idx") / per_line).alias("line")
-    rows = df.groupBy(line).agg(F.sort_array(F.collect_list(F.struct("idx", value))).alias("x")).orderBy("line").collect()
-    return [f"{r['line'] * per_line:6d}: " + " ".join(f"{x[1]:12.4g}" for x in r["x"]) for r in rows]
+    rows = df.groupBy(line).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.col(value).alias("x")))), lambda p: p.x).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            given = ([v for v in x if v is not None] for x in batch.column(1).to_pylist())
+            texts = [f"{k * per_line:6d}: " + " ".join(f"{v:12.4g}" for v in x) if x else None for k, x in zip(lines, given, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+
+    return rows.mapInArrow(run, "line bigint, text string")
+
+
+def text_lines(df: DataFrame, value: str = "v", per_line: int = 10) -> list[str]:
+    """The lines of a short vector on the driver, in order."""
+    return [r["text"] for r in text_table(df, value, per_line).orderBy("line").collect()]

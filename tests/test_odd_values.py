@@ -37,3 +37,21 @@ def test_powers_beyond_four_decimals_and_missing_values(against_sql):
     """2 ** 40.6 and 2 ** 47.6 have fewer than four decimals as doubles; the SQL rounds their product with 10000."""
     got, want = against_sql("logarithms_and_powers", events=events_of([None, None, 406.6, 0.0, 0.0, 476.4, 0.5, 5e-324]))
     assert got == want
+
+
+def test_printed_lines_stay_where_their_values_are(against_sql, monkeypatch):
+    """No collecting of the vector while the query is built; missing values and places are left out."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, schema = events_of([0.004, None, 12.34, 9999.99, -5.0] * 5 + [None] * 10 + [1.0] * 3)
+    tables = {"events": ([(*r, "a", 0) for r in rows if r[0] != 7], schema + ", event_type string, user_id bigint")}
+    plan = catalog.queries()["vector_printed"]
+
+    def planned(*args):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "collect", lambda self: pytest.fail("rows were collected"))
+            return plan(*args)
+
+    monkeypatch.setitem(catalog.queries(), "vector_printed", planned)
+    got, want = against_sql("vector_printed", **tables)
+    assert got == want
