@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Entries or rows of a part, so that what a task holds doesn't grow with the matrix.
+PART = 1 << 19
+
+
+def parts(n: int, least: int) -> int:
+    """In how many parts n entries or rows are held."""
+    return max(least, -(-n // PART))
+
+
 @dataclass(frozen=True)
 class Semiring:
     """What a product and a sum are for the element type; ``add`` aggregates."""
@@ -61,7 +70,8 @@ def product(a: DataFrame, x: DataFrame, n_rows: int, *values: str, ring: Semirin
     joined = a.join(x.select(F.col("idx").alias("col"), *[F.col(c).alias(f"__{c}") for c in names]), "col")
     terms = joined.select("row", *[ring.mul(F.col("val"), F.col(f"__{c}")).alias(c) for c in names])
     # a zero for every row, so that empty ones are there without one more join
-    zeros = a.sparkSession.range(n_rows).select("id", *[ring.zero.alias(c) for c in names])
+    spark = a.sparkSession
+    zeros = spark.range(0, n_rows, 1, parts(n_rows, spark.sparkContext.defaultParallelism)).select("id", *[ring.zero.alias(c) for c in names])
     return terms.union(zeros).groupBy(F.col("row").alias("idx")).agg(*[ring.add(F.col(c)).alias(c) for c in names])
 
 

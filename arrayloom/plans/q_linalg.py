@@ -18,8 +18,10 @@ SX = f"(SELECT row, sum(val * v) AS y, sum(val * w) AS z FROM {S} JOIN {X} ON id
 ALL_ROWS = f"FROM orders LEFT JOIN {SX} ON row = o_orderkey"
 
 
-def matrix(spark, d):
-    t = table(spark, d, "lineitem")
+def matrix(spark, d, by="l_partkey"):
+    """Parts of a bounded size by the key that the product joins on, which does for the sums too."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    t = t.repartition(sparse.parts(t.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
     return t.groupBy(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col")).agg(F.sum("l_quantity").alias("val"))
 
 
@@ -70,7 +72,7 @@ def spmv_empty_rows(spark, d):
 @query(f"SELECT p_partkey AS idx, coalesce(sum(val * o_custkey), 0) AS v FROM part LEFT JOIN {S} ON col = p_partkey LEFT JOIN orders ON o_orderkey = row GROUP BY 1")
 def spmv_nonsquare(spark, d):
     """The transpose: parts by orders."""
-    a = matrix(spark, d).select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
+    a = matrix(spark, d, "l_orderkey").select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
     x = vectors.vector(table(spark, d, "orders"), "o_orderkey", v=F.col("o_custkey").cast("double"))
     return sparse.product(a, x, table(spark, d, "part").count())
 

@@ -55,3 +55,14 @@ def test_printed_lines_stay_where_their_values_are(against_sql, monkeypatch):
     monkeypatch.setitem(catalog.queries(), "vector_printed", planned)
     got, want = against_sql("vector_printed", **tables)
     assert got == want
+
+
+def test_parts_of_a_product_grow_in_number_not_in_size(spark, monkeypatch):
+    from arrayloom.operators import sparse
+    from arrayloom.plans import q_linalg
+
+    monkeypatch.setattr(sparse, "PART", 100, raising=False)
+    at = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{at}/lineitem.parquet").count()
+    sizes = q_linalg.matrix(spark, at).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == -(-n // 100) and max(sizes) < 1000
