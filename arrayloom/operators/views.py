@@ -144,3 +144,33 @@ def reduced(df: DataFrame, dims: Sequence[int], axes: Sequence[int], **aggregate
     shape = [dims[k] for k in keep]
     grouped = df.groupBy(flat([d[k] for k in keep], shape).alias("idx"))
     return grouped.agg(*[a.alias(n) for n, a in aggregates.items()]), shape or [1]
+
+
+def met(a: DataFrame, a_source: Sequence[int], b: DataFrame, b_source: Sequence[int], dims: Sequence[int]) -> DataFrame:
+    """The columns of ``reshaped(a, dims, a_source)`` and ``reshaped(b, dims, b_source)`` by position.
+
+    Neither is replicated before they meet: the join is by the dimensions that
+    both have, and each replica is a pair that it gives, so only the sources'
+    own rows are shuffled. Dimensions that neither has come from a generator.
+    """
+    common = [k for k in range(len(dims)) if k in a_source and k in b_source]
+
+    def side(df: DataFrame, source: Sequence[int], gives: Sequence[int]) -> DataFrame:
+        own = dict(zip(source, digits(F.col("idx"), [dims[k] for k in source]), strict=True))
+        key = flat([own[k] for k in common], [dims[k] for k in common]).alias("__k")
+        return df.select(key, *[own[k].alias(f"__d{k}") for k in gives], *[c for c in df.columns if c != "idx"])
+
+    left, right = side(a, a_source, a_source), side(b, b_source, [k for k in b_source if k not in common])
+    # what follows takes far longer than these rows are large, so its tasks aren't to be merged by size
+    left = left.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *["__k"] * bool(common))
+    out = left.join(right, "__k") if common else left.crossJoin(right.drop("__k"))
+    at = flat([F.col(f"__d{k}") if k in a_source or k in b_source else F.lit(0) for k in range(len(dims))], dims).alias("idx")
+    values = [c for df in (a, b) for c in df.columns if c != "idx"]
+    out = out.select(at, *values)
+    missing = [k for k in range(len(dims)) if k not in a_source and k not in b_source]
+    for k in missing:
+        if not dims[k]:
+            return out.where(F.lit(False))
+        step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims[k] - 1).cast("long"))).alias("__p")
+        out = out.select("idx", *values, step).select((F.col("idx") + F.col("__p") * strides(dims)[k]).alias("idx"), *values)
+    return out

@@ -194,9 +194,8 @@ def matmul_reshape(spark, d):
     from arrayloom.operators import views
 
     m, n = dense(spark, d)
-    x = views.reshaped(m, [64, n, 64], [1, 0]).withColumnRenamed("v", "x")
-    y = views.reshaped(m, [64, n, 64], [1, 2]).withColumnRenamed("v", "y")
-    return _rounded(views.reduced(x.join(y, "idx"), [64, n, 64], [1], v=F.sum(F.col("x") * F.col("y")))[0])
+    both = views.met(m.withColumnRenamed("v", "x"), [1, 0], m.withColumnRenamed("v", "y"), [1, 2], [64, n, 64])
+    return _rounded(views.reduced(both, [64, n, 64], [1], v=F.sum(F.col("x") * F.col("y")))[0])
 
 
 # stencils

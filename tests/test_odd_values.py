@@ -1,8 +1,12 @@
 """Queries against their SQL on tables with values that the given ones lack."""
 
+import math
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from arrayloom.operators import views
 from arrayloom.plans import catalog
 
 
@@ -66,3 +70,17 @@ def test_parts_of_a_product_grow_in_number_not_in_size(spark, monkeypatch):
     n = spark.read.parquet(f"{at}/lineitem.parquet").count()
     sizes = q_linalg.matrix(spark, at).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(sizes) == -(-n // 100) and max(sizes) < 1000
+
+
+@pytest.mark.parametrize("a_source, b_source", [([1, 0], [1, 2]), ([0], [2, 0]), ([2], [0]), ([0, 1, 2], [1])])
+def test_shapes_meet_as_if_replicated(spark, a_source, b_source):
+    dims = [2, 3, 4]
+    a, b = (spark.range(math.prod(dims[k] for k in s)).select(F.col("id").alias("idx"), (F.col("id") * 7 % 5).alias(c)) for s, c in ((a_source, "x"), (b_source, "y")))
+    want = views.reshaped(a, dims, a_source).join(views.reshaped(b, dims, b_source), "idx").collect()
+    got = views.met(a, a_source, b, b_source, dims)
+    assert sorted(got.collect()) == sorted(want) and len(want) == 24
+
+
+def test_product_by_three_axes_makes_no_replicas_before_the_join(spark):
+    plan = catalog.queries()["matmul_reshape"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and plan.count("Join") == 1  # the embeddings' own elements, once a factor
